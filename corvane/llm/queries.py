@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.langid import languages_of
+from corvane.llm.neardup import near_duplicates
 from corvane.llm.stuffing import stuffed_pages
 from corvane.session import read
 
@@ -15,9 +16,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where((F.col("line_no") > 0) | F.col("wrong")).select("doc_id", "line_no", "lang")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates(read(spark, d, "documents"), threshold=0.6)
+    return found.pairs().select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(read(spark, d, "documents"), read(spark, d, "lang_samples"), shares=False).where("stuffed").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
