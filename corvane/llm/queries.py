@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.langid import languages_of
 from corvane.llm.neardup import near_duplicates
+from corvane.llm.sitelines import repeated_lines
 from corvane.llm.stuffing import stuffed_pages
 from corvane.session import read
 
@@ -16,6 +17,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where((F.col("line_no") > 0) | F.col("wrong")).select("doc_id", "line_no", "lang")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(read(spark, d, "documents")).select(F.col("id").alias("doc_id"), "line_no")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = near_duplicates(read(spark, d, "documents"), threshold=0.6)
     return found.pairs().select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -25,5 +30,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(read(spark, d, "documents"), read(spark, d, "lang_samples"), shares=False).where("stuffed").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p10_found": p10_found}
+SQL: dict[str, str] = {
+    "p3_found": r"""
+        WITH lines AS (
+          SELECT doc_id, source, CAST(i AS INTEGER) AS line_no, regexp_replace(lower(split_part(text, chr(10), CAST(i AS INTEGER))), '[^\p{L}]+', '', 'g') AS letters
+          FROM documents, unnest(range(1, length(text) - length(replace(text, chr(10), '')) + 2)) AS t(i)
+          WHERE text IS NOT NULL AND source IS NOT NULL
+        ), often AS (
+          SELECT source, letters FROM lines WHERE length(letters) >= 12 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 5
+        )
+        SELECT doc_id, line_no FROM lines SEMI JOIN often USING (source, letters)""",
+}
