@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.history import repeats_of_accepted
 from corvane.llm.langid import languages_of
+from corvane.llm.maincontent import main_content
 from corvane.llm.neardup import near_duplicates
 from corvane.llm.sitelines import repeated_lines
 from corvane.llm.stuffing import stuffed_pages
@@ -22,6 +23,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(read(spark, d, "documents")).select(F.col("id").alias("doc_id"), "line_no")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content(read(spark, d, "crawl_pages")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = repeats_of_accepted(read(spark, d, "ingest_docs"), threshold=0.6, accepted_batch=0)
     return found.select(F.col("id").alias("ingest_id"))
@@ -36,7 +41,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(read(spark, d, "documents"), read(spark, d, "lang_samples"), shares=False).where("stuffed").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p3_found": r"""
         WITH lines AS (
