@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.sitelines import letters_of
@@ -31,6 +31,8 @@ BULLET = re.compile(r"^\s*(?:[-*•–»]|\d{1,3}[.)])\s+")
 ITEMS = re.compile(r"\s*[·|›»/•]\s*|\s{2,}|\s[-–—>]\s")
 PRICE = re.compile(r"(?:^|\s)[€$£]?\d+[.,]\d\d\s*(?:[€$£]|EUR|USD|GBP)?\s*$")
 WINDOW = 28
+OPENING = 6
+NO_LETTER = re.compile(r"[\W\d_]+")
 CELL = re.compile(r"\s*\|\s*|\t+")
 TITLE_SQL = r"[.!?:;][\"'”’»)\]]*$|[”»)]$"
 
@@ -138,13 +140,11 @@ def kind_of(line: str) -> tuple[str, int]:
         return "mark", 0
     ends = bool(TERMINAL.search(s))
     sentences = len(SENTENCE_END.findall(s))
-    common = sum(w.lower() in FUNCTION_OF for w in words)
     if BULLET.match(s):
         return ("paragraph", sentences) if ends and sentences and n >= 10 else ("item", 0)
     parts = [x for x in ITEMS.split(s) if x]
     if len(parts) >= 3 and not ends:
-        digits = sum(ch.isdigit() for ch in s)
-        if len(CELL.split(s)) >= 2 and digits and any(x.strip().isdigit() for x in parts):
+        if len(CELL.split(s)) >= 2 and any(x.strip().isdigit() for x in parts):
             return "row", 0
         if sum(len(x.split()) for x in parts) / len(parts) <= 6:
             return "menu", 0
@@ -154,7 +154,7 @@ def kind_of(line: str) -> tuple[str, int]:
         return "menu", 0
     if PRICE.search(s):
         return "price", 0
-    if ends and n >= 6 and common >= 0.12 * n:
+    if ends and n >= 6 and sum(w in FUNCTION_OF for w in WORD.findall(s.lower())) >= 0.12 * n:
         return "paragraph", max(1, sentences)
     if not ends and n <= 24:
         return "title", 0
@@ -163,7 +163,8 @@ def kind_of(line: str) -> tuple[str, int]:
 
 def letters(line: str) -> str:
     """The same as ``letters_of`` in SQL."""
-    return "".join(ch for ch in line.lower() if ch.isalpha())
+    joined = NO_LETTER.sub("", line.lower())
+    return joined if not joined or joined.isalpha() else "".join(ch for ch in joined if ch.isalpha())
 
 
 def covered(tokens: list[str], known: Callable[[list[int]], list[bool]], hashes: Callable[[int, int], int], longest: int = WINDOW) -> bool:
@@ -184,8 +185,8 @@ def label_page(text: str, often_at: set[int], heads: set[int], w: Weights) -> li
     nodes = [k for k, x in enumerate(lines) if WORD.search(x)]
     if not nodes:
         return []
-    kinds = [kind_of(lines[k]) for k in nodes]
     often = [k + 1 in often_at for k in nodes]
+    kinds = [("often", 0) if o and k + 1 not in heads else kind_of(lines[k]) for k, o in zip(nodes, often, strict=True)]
     article = [kind == "paragraph" and not o for (kind, _), o in zip(kinds, often, strict=True)]
     if not any(article):
         return []
@@ -236,29 +237,34 @@ def label_page(text: str, often_at: set[int], heads: set[int], w: Weights) -> li
     return [nodes[int(i)] + 1 for i in np.flatnonzero(inside & ~np.array(often))]
 
 
+def tokens_of(line: Column) -> Column:
+    """Letters of the white-space separated tokens that have any."""
+    return F.filter(F.transform(F.split(line, r"[\s\x{a0}]+"), letters_of), lambda x: F.length(x) > 0)
+
+
 def _lines(df: DataFrame, text: str) -> DataFrame:
-    """``(page, at, node, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
+    """``(page, node, opening, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.struct(letters_of(line).alias("letters"), F.trim(line).alias("line")))
-    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64(x["letters"]).alias("node"), x["line"].alias("line")))
+    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64(x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), x["line"].alias("line")))
     rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("page"), lines.alias("x")).select("page", F.posexplode("x").alias("at", "l"), "x")
     after = F.get("x", F.col("at") + 1)
     line = after["line"]
     titled = (~line.rlike(TITLE_SQL) | line.rlike("…")) & F.size(F.split(line, r"\s+")).between(4, 22) & ~line.rlike("[·|›]")
-    return rows.select("page", F.col("l.node").alias("node"), after["node"].alias("after"), titled.alias("titled"))
+    return rows.select("page", F.col("l.node").alias("node"), F.col("l.opening").alias("opening"), after["node"].alias("after"), titled.alias("titled"))
 
 
 def line_statistics(df: DataFrame, text: str, w: Weights, scratch: Scratch, small: int) -> DataFrame:
-    """``(node, head)`` of the lines that enough different texts hold; head marks those that titles usually follow.
+    """``(node, opening, head)`` of the lines that enough different texts hold; head marks those that titles usually follow.
 
     Equal pages count once; lines after which another repeated line comes say nothing about heads. All counts are
     combined before they are shuffled.
     """
     rows = _lines(df, text)
-    often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= w.pages).select("node"), "often")
-    held = rows.where("after IS NOT NULL").join(broadcast_if_small(often, small), "node")
-    first = held.join(broadcast_if_small(often, small).withColumnRenamed("node", "after"), "after", "left_anti")
+    often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening")).where(F.col("pages") >= w.pages).select("node", "opening"), "often")
+    held = rows.where("after IS NOT NULL").join(broadcast_if_small(often.select("node"), small), "node")
+    first = held.join(broadcast_if_small(often.select(F.col("node").alias("after")), small), "after", "left_anti")
     heads = first.groupBy("node").agg(F.avg(F.col("titled").cast("double")).alias("share"), F.count("*").alias("times")).where((F.col("share") >= w.box_share) & (F.col("times") >= w.pages))
-    return scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", F.coalesce("head", F.lit(False)).alias("head")), "lines")
+    return scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", F.coalesce("head", F.lit(False)).alias("head")), "lines")
 
 
 def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weights: Weights | None = None, small: int = 1_000_000) -> DataFrame:
@@ -280,12 +286,12 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
         return pa.RecordBatch.from_arrays([ids.take(pa.array([x for x, _ in out], pa.int64())), pa.array([n for _, n in out], pa.int32())], names=[key, "line_no"])
 
     if at_most(stats, small):
-        got = stats.toPandas().sort_values("node")  # at most ``small`` rows of 9 bytes
-        table = spark.sparkContext.broadcast((got["node"].to_numpy("int64"), got["head"].to_numpy(bool)))
+        got = stats.toPandas().sort_values("node")  # at most ``small`` rows of 17 bytes
+        table = spark.sparkContext.broadcast((got["node"].to_numpy("int64"), got["head"].to_numpy(bool), np.unique(got["opening"].to_numpy("int64"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes, head = table.value
-            known = dict(zip(nodes.tolist(), head.tolist(), strict=True))
+            nodes, head, opening = table.value
+            known, opens = dict(zip(nodes.tolist(), head.tolist(), strict=True)), set(opening.tolist())
             for b in batches:
                 out: list[tuple[int, int]] = []
                 for i, t in enumerate(b.column(1).to_pylist()):
@@ -296,6 +302,8 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
                             continue
                         is_head = known.get(spark_hash(joined))
                         if is_head is None:
+                            if not any(spark_hash(joined[:n]) in opens for n in range(2, OPENING + 1)):
+                                continue  # no repeated line begins like this
                             parts = [p for p in map(letters, line.split()) if p]
                             if covered(parts, lambda hs: [h in known for h in hs], lambda a, e, p=parts: spark_hash("".join(p[a:e]))):
                                 often.add(no)
@@ -309,10 +317,9 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
         return pages.select(key, text).mapInArrow(run, schema)
 
     # every line with the hashes of its prefixes; lines that begin with a repeated line then with those of all their windows
-    tokens = lambda line: F.filter(F.transform(F.split(line, r"[\s\x{a0}]+"), letters_of), lambda x: F.length(x) > 0)
     seat = pages.select(F.xxhash64(text).alias("seat"), key, text)
     line = seat.select("seat", F.posexplode(F.split(text, "\n")).alias("at", "line")).distinct()
-    line = line.select("seat", (F.col("at") + 1).alias("no"), letters_of(F.col("line")).alias("whole"), tokens(F.col("line")).alias("t")).where(F.length("whole") >= 2)
+    line = line.select("seat", (F.col("at") + 1).alias("no"), letters_of(F.col("line")).alias("whole"), tokens_of(F.col("line")).alias("t")).where(F.length("whole") >= 2)
     exact = line.select("seat", "no", F.xxhash64("whole").alias("node")).join(stats, "node").select("seat", F.struct("no", F.lit(-1).alias("a"), F.lit(-1).alias("e"), "head").alias("x"))
     ends = F.sequence(F.lit(1), F.least(F.size("t"), F.lit(WINDOW)))
     prefixes = line.select("seat", "no", "t", F.explode(ends).alias("e")).select("seat", "no", "t", F.xxhash64(F.array_join(F.slice("t", 1, F.col("e")), "")).alias("node"))
@@ -335,8 +342,8 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
                     if x["a"] >= 0 and x["no"] not in often:
                         spans.setdefault(x["no"], set()).add((x["a"], x["e"]))
                 for no, have in spans.items():
-                    tokens_of = [p for p in map(letters, lines[no - 1].split()) if p]
-                    if covered(tokens_of, lambda hs: [h in have for h in hs], lambda a, e: (a, e)):
+                    parts_of = [p for p in map(letters, lines[no - 1].split()) if p]
+                    if covered(parts_of, lambda hs: [h in have for h in hs], lambda a, e: (a, e)):
                         often.add(no)
                 out += [(i, no) for no in label_page(t, often, heads, w)]
             yield emit(b.column(0), out)
