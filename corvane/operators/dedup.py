@@ -10,12 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import words
 from corvane.session import Scratch
 
 #: Fixed values of the sketch: permutations, bands, words in a run, seed of the permutations.
 PERMUTATIONS, BANDS, RUN, SEED = 112, 14, 5, 112_358
-MODULUS = 2**31 - 1
 
 
 def exact_duplicates(df: DataFrame, digest: str, key: str, ordinal: str, ledger: DataFrame | None = None) -> DataFrame:
@@ -25,8 +23,8 @@ def exact_duplicates(df: DataFrame, digest: str, key: str, ordinal: str, ledger:
     document is no duplicate of itself. Owners come from aggregates that combine before the shuffle, so a digest that a
     third of all rows share costs one row per input partition.
     """
-    first = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("_digest")).agg(F.min(F.struct(ordinal, key)).alias("_first"))
-    owner = F.col(f"_first.{key}")
+    first = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("_digest")).agg(F.min(F.struct(F.col(ordinal).alias("o"), F.col(key).alias("k"))).alias("_first"))
+    owner = F.col("_first.k")
     out = df.join(first, F.col(digest) == F.col("_digest"), "left")
     if ledger is not None:
         own = ledger.where((F.col("status") != "deleted") & F.col("digest").isNotNull()).groupBy(F.col("digest").alias("_ledger_digest")).agg(F.min(F.struct("created_at", "id")).alias("_own"))
@@ -41,31 +39,6 @@ def keep_first(df: DataFrame, group: Column, ordinal: str, cap: int = 2) -> Data
     return df.withColumn("_rank", F.row_number().over(at)).where(F.col("_rank") <= cap).drop("_rank")
 
 
-def permutations() -> list[tuple[int, int]]:
-    """Coefficients below the modulus, from a rule that SQL can repeat: digits of md5 of the number of the permutation."""
-    import hashlib
-
-    digits = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
-    return [(digits(f"a{i}") % (MODULUS - 1) + 1, digits(f"b{i}")) for i in range(PERMUTATIONS)]
-
-
-def runs_of_words(text: Column, size: int = RUN) -> Column:
-    w = words(text)
-    return F.when(F.size(w) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))))
-
-
-def minhash_signature(text: Column) -> Column:
-    """112 least values of (a * h + b) mod (2^31 - 1) over 28-bit hashes of the word runs; null for fewer than five words."""
-    h = F.transform(runs_of_words(text), lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("bigint"))
-    return F.array(*[F.array_min(F.transform(h, lambda x, a=a, b=b: (x * F.lit(a) + F.lit(b)) % F.lit(MODULUS))) for a, b in permutations()])
-
-
-def band_values(signature: Column) -> Column:
-    """One string per band of eight values."""
-    size = PERMUTATIONS // BANDS
-    return F.array(*[F.md5(F.array_join(F.slice(signature, 1 + k * size, size), ",")) for k in range(BANDS)])
-
-
 def signature_bands(df: DataFrame, key: str, text: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """``(key, band, value, *kept)`` with 64-bit wraparound arithmetic over xxh64 hashes modulo 2^61 - 1; one Arrow pass.
 

@@ -114,12 +114,13 @@ def upsert_units(prior: DataFrame, incoming: DataFrame, mode: str = "merge", key
     """
     if mode not in ("merge", "increment", "skip"):
         raise ValueError(f"unknown mode {mode}")
-    order = F.struct("ordinal", "upstream", "stage", "attrs")
+    none = F.create_map().cast("map<string,string>")
+    said = F.sort_array(F.collect_list(F.struct("ordinal", F.map_entries(F.coalesce("attrs", none)).alias("pairs"))))  # assertions of one unit in one batch
     last = incoming.groupBy(*key).agg(
-        F.max(order).alias("_last"), F.aggregate(F.sort_array(F.collect_list(F.struct("ordinal", "attrs"))), F.create_map().cast("map<string,string>"), lambda m, x: _over(m, x["attrs"])).alias("_attrs"),
+        F.max_by("upstream", "ordinal").alias("_upstream"), F.aggregate(said, none, lambda m, x: _over(m, F.map_from_entries(x["pairs"]))).alias("_attrs"),
         F.max_by("stage", F.when(F.col("stage").isNotNull(), F.col("ordinal"))).alias("_stage"),
     )
-    new = last.select(*key, F.col("_last.upstream").alias("n_upstream"), F.col("_stage").alias("n_stage"), F.col("_attrs").alias("n_attrs"), F.lit(True).alias("_new"))
+    new = last.select(*key, F.col("_upstream").alias("n_upstream"), F.col("_stage").alias("n_stage"), F.col("_attrs").alias("n_attrs"), F.lit(True).alias("_new"))
     if mode == "increment":
         sums = incoming.select(*key, F.explode("delta").alias("_name", "_by")).groupBy(*key, "_name").agg(F.sum("_by").alias("_by"))
         sums = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_by"))).alias("_delta"))

@@ -97,7 +97,7 @@ def backfill_windows(spark: SparkSession, start: str, until: str, unit: str = "m
 
 def daily_shards(spark: SparkSession, first: str, today: str, threshold: int, have: DataFrame | None = None) -> DataFrame:
     """``(unit_key)`` of the form ``day..day@threshold``, one per day, without those that exist."""
-    days = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{today}', INTERVAL 1 DAY)")).cast("string").alias("d"))
+    days = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{today}', INTERVAL 1 DAY)")).alias("d")).select(F.col("d").cast("string"))
     keys = days.select(F.concat("d", F.lit(".."), "d", F.lit(f"@{threshold}")).alias("unit_key"))
     return keys.join(have.select("unit_key"), "unit_key", "left_anti") if have is not None else keys
 
@@ -122,13 +122,17 @@ def crawl(seeds: DataFrame, links: DataFrame, depth: int, budget: int) -> DataFr
     written to shared storage.
     """
     scratch = Scratch(seeds.sparkSession, "crawl")
-    seen = scratch.keep(seeds.select("url").distinct().orderBy("url").limit(budget).select("url", F.lit(0).alias("depth")), "level")
-    count = seen.count()
-    level = seen
+
+    def within(urls: DataFrame, room: int, d: int) -> tuple[DataFrame, int]:
+        level = scratch.keep(urls.select("url", F.lit(d).alias("depth")), "level")
+        size = level.count()
+        return (level, size) if size <= room else (scratch.keep(level.orderBy("url").limit(room), "level"), room)
+
+    level, count = within(seeds.select("url").distinct(), budget, 0)
+    seen = level
     for d in range(1, depth + 1):
         fresh = links.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        level = scratch.keep(fresh.orderBy("url").limit(budget - count).select("url", F.lit(d).alias("depth")), "level")
-        found = level.count()
+        level, found = within(fresh, budget - count, d)
         if not found:
             break
         seen, count = seen.union(level), count + found
