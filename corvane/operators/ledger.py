@@ -188,7 +188,11 @@ class VersionedTable:
         at = self._fs_path(f"{self.path}/_CURRENT")
         if not self._fs.exists(at):
             return None
-        return json.loads(self.spark.read.text(at.toString()).first()[0])["version"]
+        stream = self._fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -203,8 +207,10 @@ class VersionedTable:
         out = self._fs.create(turn, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        kinds = getattr(fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
         at = self._fs_path(f"{self.path}/_CURRENT")
-        self._fs.delete(at, False)
-        if not self._fs.rename(turn, at):
-            raise OSError(f"the pointer of {self.path} could not be turned")
+        fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(turn, at, over)  # one step, so there is always a pointer
         return version
