@@ -73,7 +73,9 @@ def repeated_lines(
 
 def without_lines(df: DataFrame, occurrences: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the given lines cut out of ``text``; all columns and rows stay."""
-    gone = occurrences.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))  # no larger than the document
-    lines = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_gone", (i + 1)))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    return df.join(gone, F.col(key) == F.col("_id"), "left").withColumn(text, kept).drop("_id", "_gone")
+    free = lambda name: name if name not in df.columns else free(name + "_")
+    at, cut = free("_id"), free("_gone")
+    gone = occurrences.groupBy(F.col("id").alias(at)).agg(F.collect_set("line_no").alias(cut))  # no larger than the document
+    lines = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(cut, (i + 1)))
+    kept = F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    return df.join(gone, F.col(key) == F.col(at), "left").withColumn(text, kept).drop(at, cut)
