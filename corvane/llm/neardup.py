@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.sketch import SetSketch, estimate_pairs, jaccard, packed, shingle_hashes, unpacked
-from corvane.session import Scratch
+from corvane.session import Scratch, broadcast_if_small
 
 
 def sign(df: DataFrame, key: str, text: str, sketch: SetSketch, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -58,11 +58,16 @@ def band_rows(signed: DataFrame, sketch: SetSketch, extra: tuple[str, ...] = ())
     return signed.select("id", "registers", *extra).mapInArrow(run, schema)
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct ``(id_a, id_b)``, id_a < id_b, of texts that share a band."""
+def candidates(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct ``(id_a, id_b)``, id_a < id_b, of texts that share a band.
+
+    The shared keys are few and written once; the bands are shuffled once for them, and a second time only as far as
+    their key is shared by three or more.
+    """
     keys = bands.groupBy("band").agg(F.min("id").alias("id_a"), F.max("id").alias("id_b"), F.count("*").alias("many")).where("id_a < id_b")
+    keys = scratch.keep(keys, "keys")
     two = keys.where("many = 2").select("id_a", "id_b")
-    more = bands.join(keys.where("many > 2").select("band"), "band", "left_semi")
+    more = bands.join(broadcast_if_small(keys.where("many > 2").select("band"), 1_000_000), "band", "left_semi")
     left, right = more.select("band", F.col("id").alias("id_a")), more.select("band", F.col("id").alias("id_b"))
     return two.union(left.join(right, "band").where("id_a < id_b").select("id_a", "id_b")).distinct()
 
@@ -126,8 +131,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     copied = full.where("many > 1").select("full", "cls")
     members = signed.select("full", "id").join(copied, "full", "left").select("id", F.coalesce("cls", "id").alias("cls")).distinct()
     copies = members.where("id <> cls").select("id")
-    reps = signed.join(copies, "id", "left_anti")
-    found = scratch.keep(candidates(band_rows(reps, sketch)), "candidates")
+    reps = signed.join(broadcast_if_small(copies, 1_000_000), "id", "left_anti")
+    found = scratch.keep(candidates(band_rows(reps, sketch), scratch), "candidates")
     ends = found.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     taken = scratch.keep(signed.select("id", "n", "registers").join(ends, "id", "left_semi").dropDuplicates(["id"]), "taken")
     side = lambda x: taken.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
