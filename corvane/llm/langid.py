@@ -11,6 +11,7 @@ left undecided.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,13 +19,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm.stuffing import Calibration, assess, calibrate
 from corvane.llm.words import URL, code_lines
 from corvane.session import bounded_rows
 
-#: Documented bound of the training sample, in labelled rows.
+#: Documented bounds: labelled rows to train on; documents of the table to learn from besides, and their lines per language.
 MAX_SAMPLES = 20_000
+OWN_DOCUMENTS = 1_500
+OWN_LINES = 300
 ORDER = 5
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 START, END = 2, 3
@@ -54,7 +58,7 @@ class Models:
     contexts: tuple[tuple[np.ndarray, np.ndarray], ...]
     uniform: float
     temperature: float = 1.0
-    reject: float = 0.6
+    reject: float = 0.4
 
 
 def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,24 +202,26 @@ def posterior(cost: np.ndarray, temperature: float) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], folds: int = 4, reject: float = 0.6) -> Models:
-    """Train on all rows; the temperature is the one under which held-out folds are most likely."""
+def fit(rows: list[tuple[str, str]], more: list[tuple[str, str]] = (), folds: int = 2, reject: float = 0.4) -> Models:
+    """Train on all rows and ``more``; the temperature is the one under which held-out folds of the rows are most likely."""
     from dataclasses import replace
 
     rows = [r for r in rows if r[0] and r[1]]
+    fold = [zlib.crc32(t.encode()) % folds for _, t in rows]
+    every = tuple(sorted({x for x, _ in [*rows, *more]}))
     cost, truth = [], []
     for f in range(folds):
-        m = train([r for k, r in enumerate(rows) if k % folds != f])
-        part = [r for k, r in enumerate(rows) if k % folds == f and r[0] in m.languages]
-        if part:
+        m = train([*(r for r, k in zip(rows, fold, strict=True) if k != f), *more])
+        part = [r for r, k in zip(rows, fold, strict=True) if k == f]
+        if part and m.languages == every:
             cost.append(Scorer(m).lines([LETTERS.findall(t.lower()) for _, t in part]))
             truth += [m.languages.index(x) for x, _ in part]
     best = 1.0
-    if cost and len({x.shape[1] for x in cost}) == 1:
+    if cost:
         c, t = np.concatenate(cost), np.array(truth)
         loss = {T: -np.log(np.maximum(posterior(c, T)[np.arange(len(t)), t], 1e-12)).mean() for T in (0.5, 0.7, 1, 1.5, 2, 3, 4, 6, 8, 12, 16)}
         best = min(loss, key=loss.get)
-    return replace(train(rows), temperature=float(best), reject=reject)
+    return replace(train([*rows, *more]), temperature=float(best), reject=reject)
 
 
 # --- documents -------------------------------------------------------------------------------------------------------
@@ -265,6 +271,21 @@ def judge(texts: list[str | None], scorer: Scorer, least: int = 25) -> list[tupl
     return out
 
 
+def own_lines(texts: list[tuple[str, str | None]], m: Models, most: int = OWN_LINES) -> list[tuple[str, str]]:
+    """(language, line) from (text, label) rows that the models and the label agree on, without any line in another language.
+
+    All lines of such texts count, also short ones that the models can't tell yet: notices, bylines, headings. Every
+    language gives equally many at most, so that none gains from names that all of them share.
+    """
+    scorer, out = Scorer(m), defaultdict(list)
+    for (text, label), (main, sure, letters, foreign) in zip(texts, judge([t for t, _ in texts], scorer, 10), strict=True):
+        if main is None or foreign or sure < 0.999 or label_code(label) != main or letters < 200:
+            continue
+        lines = text.split("\n")
+        out[main] += [(main, x) for x, code in zip(lines, code_lines(lines), strict=True) if not code and len(x) >= 20 and "://" not in x and "www." not in x]
+    return [r for lang in sorted(out) for r in out[lang][:most]]
+
+
 def languages_of(
     df: DataFrame,
     samples: DataFrame,
@@ -274,7 +295,7 @@ def languages_of(
     least_document: int = 60,
     least_line: int = 25,
     skip_stuffed: bool = True,
-    reject: float = 0.6,
+    reject: float = 0.4,
 ) -> DataFrame:
     """``(key, line_no, lang, confidence, label_code, wrong)``: line 0 is the document, other lines are in another language.
 
@@ -282,11 +303,14 @@ def languages_of(
     names no language or names another. Each line of at least ``least_line`` letters in another language than the
     document's main one has a row of its own. Documents with fewer than ``least_document`` letters have no row 0.
     ``skip_stuffed`` leaves out keyword and link-list pages. Null and empty texts, code and undecided texts give no rows;
-    a null key stays null; repeated rows repeat theirs; only the named columns are read. One pass without a shuffle.
+    a null key stays null; repeated rows repeat theirs; only the named columns are read. One pass without a shuffle, after
+    a look at the OWN_DOCUMENTS texts with the least hash, whose unmistakable lines the models learn besides the sample.
     """
     rows = [(r["lang"], r["text"]) for r in bounded_rows(samples.select("lang", "text"), MAX_SAMPLES, "language samples")]
-    models = fit(rows, reject=reject)
     limits: Calibration = calibrate(rows)
+    some = df.where(F.col(text).isNotNull() & F.length(text).between(200, 20_000)).select(text, label).orderBy(F.xxhash64(text)).limit(OWN_DOCUMENTS).collect()
+    first = fit(rows, reject=reject)
+    models = fit(rows, own_lines([(r[0], r[1]) for r in some if not assess(r[0], limits, quick=True).stuffed], first), reject=reject)
     shared = df.sparkSession.sparkContext.broadcast((models, limits))  # bounded by MAX_SAMPLES
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, line_no int, lang string, confidence double, label_code string, wrong boolean"
