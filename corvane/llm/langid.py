@@ -286,6 +286,18 @@ def own_lines(texts: list[tuple[str, str | None]], m: Models, most: int = OWN_LI
     return [r for lang in sorted(out) for r in out[lang][:most]]
 
 
+def _least_hashed(df: DataFrame, text: str, label: str, most: int = OWN_DOCUMENTS) -> list:
+    """(text, label) of the different texts among the ``most`` rows with the least hash.
+
+    Tasks first send hashes alone; the texts below the cut are then few, and copies of one are combined where they lie.
+    """
+    rows = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
+    low = rows.select("h").orderBy("h").limit(most).collect()
+    if not low:
+        return []
+    return rows.where(F.col("h") <= low[-1]["h"]).groupBy("h").agg(F.min(F.struct("t", "l")).alias("x")).select("x.t", "x.l").limit(most).collect()
+
+
 def languages_of(
     df: DataFrame,
     samples: DataFrame,
@@ -308,7 +320,7 @@ def languages_of(
     """
     rows = [(r["lang"], r["text"]) for r in bounded_rows(samples.select("lang", "text"), MAX_SAMPLES, "language samples")]
     limits: Calibration = calibrate(rows)
-    some = df.where(F.col(text).isNotNull() & F.length(text).between(200, 20_000)).select(text, label).orderBy(F.xxhash64(text)).limit(OWN_DOCUMENTS).collect()
+    some = _least_hashed(df.where(F.length(text).between(200, 20_000)), text, label)
     first = fit(rows, reject=reject)
     models = fit(rows, own_lines([(r[0], r[1]) for r in some if not assess(r[0], limits, quick=True).stuffed], first), reject=reject)
     shared = df.sparkSession.sparkContext.broadcast((models, limits))  # bounded by MAX_SAMPLES
