@@ -24,9 +24,8 @@ from corvane.llm.sitelines import letters_of
 from corvane.llm.words import FUNCTION_OF, WORD
 from corvane.session import Scratch, at_most, broadcast_if_small
 
-TERMINAL = re.compile(r"[.!?:;][\"'”’»)\]]*$|[”»)]$")
+CLOSERS = "\"'”’»)]"
 SENTENCE_END = re.compile(r"[.!?][\"'”’»)\]]*(?:\s|$)")
-CUT_OFF = re.compile(r"(?:…|\.\.\.)[\"'”’»)\]]*$")
 BULLET = re.compile(r"^\s*(?:[-*•–»]|\d{1,3}[.)])\s+")
 ITEMS = re.compile(r"\s*[·|›»/•]\s*|\s{2,}|\s[-–—>]\s")
 PRICE = re.compile(r"(?:^|\s)[€$£]?\d+[.,]\d\d\s*(?:[€$£]|EUR|USD|GBP)?\s*$")
@@ -65,6 +64,39 @@ class Weights:
     pages: int = 3
 
 
+def cut_labels(content: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
+    """Minimum cut. Nodes whose own cost outweighs all their edges are decided first and passed on to their neighbours,
+    which leaves the minimum as it is; the flow then runs over what is undecided."""
+    n = len(content)
+    cost = content.tolist()
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    pull = [0.0] * n
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+        pull[a] += w
+        pull[b] += w
+    label: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if label[i] is not None or abs(cost[i]) <= pull[i]:
+            continue
+        label[i] = cost[i] > 0
+        for j, w in near[i]:
+            if label[j] is None:
+                pull[j] -= w
+                cost[j] += w if label[i] else -w
+                todo.append(j)
+    open_ = [i for i in range(n) if label[i] is None]
+    if open_:
+        at = {i: k for k, i in enumerate(open_)}
+        inside = max_flow_labels(np.array([cost[i] for i in open_]), [(at[a], at[b], w) for a, b, w in edges if a in at and b in at])
+        for i, x in zip(open_, inside.tolist(), strict=True):
+            label[i] = x
+    return np.array(label, bool)
+
+
 def max_flow_labels(content: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """Minimum cut by Dinic's algorithm. ``content[i]`` > 0 is capacity from the source, < 0 to the sink; True = source side."""
     n = len(content)
@@ -134,12 +166,13 @@ def kind_of(line: str) -> tuple[str, int]:
     n = len(words)
     if not n:
         return "other", 0
-    if CUT_OFF.search(s):
+    bare = s.rstrip(CLOSERS)
+    if bare.endswith(("…", "...")):
         return "cut", 0
     if "©" in s:
         return "mark", 0
-    ends = bool(TERMINAL.search(s))
-    sentences = len(SENTENCE_END.findall(s))
+    ends = bare[-1:] in (".", "!", "?", ":", ";") or s[-1] in "”»)"
+    sentences = len(SENTENCE_END.findall(s)) if ends or n > 24 else 0
     if BULLET.match(s):
         return ("paragraph", sentences) if ends and sentences and n >= 10 else ("item", 0)
     parts = [x for x in ITEMS.split(s) if x]
@@ -233,7 +266,7 @@ def label_page(text: str, often_at: set[int], heads: set[int], w: Weights) -> li
         edges.append((i, i + 1, weight))
         if i + 2 < len(nodes):
             edges.append((i, i + 2, w.apart * (w.past_wall if min(cost[i], cost[i + 1], cost[i + 2]) <= w.wall else 1)))
-    inside = max_flow_labels(cost, edges)
+    inside = cut_labels(cost, edges)
     return [nodes[int(i)] + 1 for i in np.flatnonzero(inside & ~np.array(often))]
 
 
@@ -259,12 +292,14 @@ def line_statistics(df: DataFrame, text: str, w: Weights, scratch: Scratch, smal
     Equal pages count once; lines after which another repeated line comes say nothing about heads. All counts are
     combined before they are shuffled.
     """
-    rows = _lines(df, text)
+    rows = scratch.keep(_lines(df, text), "all")
     often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening")).where(F.col("pages") >= w.pages).select("node", "opening"), "often")
     held = rows.where("after IS NOT NULL").join(broadcast_if_small(often.select("node"), small), "node")
     first = held.join(broadcast_if_small(often.select(F.col("node").alias("after")), small), "after", "left_anti")
     heads = first.groupBy("node").agg(F.avg(F.col("titled").cast("double")).alias("share"), F.count("*").alias("times")).where((F.col("share") >= w.box_share) & (F.col("times") >= w.pages))
-    return scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", F.coalesce("head", F.lit(False)).alias("head")), "lines")
+    out = scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", F.coalesce("head", F.lit(False)).alias("head")), "lines")
+    scratch.drop(rows)
+    return out
 
 
 def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weights: Weights | None = None, small: int = 1_000_000) -> DataFrame:
