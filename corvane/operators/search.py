@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
-from corvane.session import bounded_rows, broadcast_if_small
+from corvane.session import bounded_rows, broadcast_if_small, least_hashed
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -50,7 +50,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, block: int = 2048, max_queries: int = 1_000_000) -> DataFrame:
+def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, block: int = 512, max_queries: int = 1_000_000) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: exact cosine search of a stated query set against all rows.
 
     ``queries`` gives ``query_id, embedding``. The queries are taken in blocks of ``block`` vectors, each block one matrix
@@ -108,7 +108,7 @@ class ClusterIndex:
     @classmethod
     def build(cls, docs: DataFrame, key: str = "vec_id", vector: str = "embedding", clusters: int = 64, sample: int = 20_000, rounds: int = 12, seed: int = 5) -> ClusterIndex:
         """Fit on the ``sample`` rows with the least hash of their key."""
-        some = docs.where(F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(sample).toPandas()
+        some = least_hashed(docs.where(F.col(vector).isNotNull()).select(key, vector), F.xxhash64(F.col(key), F.lit(seed)), sample).toPandas()
         x = np.array(some[vector].tolist(), "float64").reshape(len(some), -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         centres = x[: min(clusters, len(x))].copy()

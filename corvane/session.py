@@ -92,6 +92,12 @@ def bounded_rows(df: DataFrame, rows: int, what: str) -> list:
     return got
 
 
+def least_hashed(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """About n rows, those with the least hash of ``key``. Tasks send n hashes to find the cut, never whole rows."""
+    low = df.select(key.alias("h")).orderBy("h").limit(n).collect()
+    return df.where(key <= low[-1]["h"]).limit(n) if low else df.limit(0)
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, white space collapsed, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), WHITE, " "))
