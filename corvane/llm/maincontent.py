@@ -30,7 +30,7 @@ BULLET = re.compile(r"^\s*(?:[-*•–»]|\d{1,3}[.)])\s+")
 ITEMS = re.compile(r"\s*[·|›»/•]\s*|\s{2,}|\s[-–—>]\s")
 PRICE = re.compile(r"(?:^|\s)[€$£]?\d+[.,]\d\d\s*(?:[€$£]|EUR|USD|GBP)?\s*$")
 WINDOW = 28
-OPENING = 6
+OPENING = 12
 NO_LETTER = re.compile(r"[\W\d_]+")
 CELL = re.compile(r"\s*\|\s*|\t+")
 TITLE_SQL = r"[.!?:;][\"'”’»)\]]*$|[”»)]$"
@@ -276,28 +276,28 @@ def tokens_of(line: Column) -> Column:
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
-    """``(page, node, opening, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
+    """``(page, node, opening, size, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.struct(letters_of(line).alias("letters"), F.trim(line).alias("line")))
-    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64(x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), x["line"].alias("line")))
+    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64(x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), F.least(F.length(x["letters"]), F.lit(OPENING)).alias("size"), x["line"].alias("line")))
     rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("page"), lines.alias("x")).select("page", F.posexplode("x").alias("at", "l"), "x")
     after = F.get("x", F.col("at") + 1)
     line = after["line"]
     titled = (~line.rlike(TITLE_SQL) | line.rlike("…")) & F.size(F.split(line, r"\s+")).between(4, 22) & ~line.rlike("[·|›]")
-    return rows.select("page", F.col("l.node").alias("node"), F.col("l.opening").alias("opening"), after["node"].alias("after"), titled.alias("titled"))
+    return rows.select("page", F.col("l.node").alias("node"), F.col("l.opening").alias("opening"), F.col("l.size").alias("size"), after["node"].alias("after"), titled.alias("titled"))
 
 
 def line_statistics(df: DataFrame, text: str, w: Weights, scratch: Scratch, small: int) -> DataFrame:
-    """``(node, opening, head)`` of the lines that enough different texts hold; head marks those that titles usually follow.
+    """``(node, opening, size, head)`` of the lines that enough different texts hold; head marks those that titles usually follow.
 
     Equal pages count once; lines after which another repeated line comes say nothing about heads. All counts are
     combined before they are shuffled.
     """
     rows = scratch.keep(_lines(df, text), "all")
-    often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening")).where(F.col("pages") >= w.pages).select("node", "opening"), "often")
+    often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening"), F.min("size").alias("size")).where(F.col("pages") >= w.pages).select("node", "opening", "size"), "often")
     held = rows.where("after IS NOT NULL").join(broadcast_if_small(often.select("node"), small), "node")
     first = held.join(broadcast_if_small(often.select(F.col("node").alias("after")), small), "after", "left_anti")
     heads = first.groupBy("node").agg(F.avg(F.col("titled").cast("double")).alias("share"), F.count("*").alias("times")).where((F.col("share") >= w.box_share) & (F.col("times") >= w.pages))
-    out = scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", F.coalesce("head", F.lit(False)).alias("head")), "lines")
+    out = scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", "size", F.coalesce("head", F.lit(False)).alias("head")), "lines")
     scratch.drop(rows)
     return out
 
@@ -321,12 +321,12 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
         return pa.RecordBatch.from_arrays([ids.take(pa.array([x for x, _ in out], pa.int64())), pa.array([n for _, n in out], pa.int32())], names=[key, "line_no"])
 
     if at_most(stats, small):
-        got = stats.toPandas().sort_values("node")  # at most ``small`` rows of 17 bytes
-        table = spark.sparkContext.broadcast((got["node"].to_numpy("int64"), got["head"].to_numpy(bool), np.unique(got["opening"].to_numpy("int64"))))
+        got = stats.toPandas().sort_values("node")  # at most ``small`` rows of 21 bytes
+        table = spark.sparkContext.broadcast((got["node"].to_numpy("int64"), got["head"].to_numpy(bool), np.unique(got["opening"].to_numpy("int64")), np.unique(got["size"].to_numpy("int64"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes, head, opening = table.value
-            known, opens = dict(zip(nodes.tolist(), head.tolist(), strict=True)), set(opening.tolist())
+            nodes, head, opening, size = table.value
+            known, opens, sizes = dict(zip(nodes.tolist(), head.tolist(), strict=True)), set(opening.tolist()), size.tolist()
             for b in batches:
                 out: list[tuple[int, int]] = []
                 for i, t in enumerate(b.column(1).to_pylist()):
@@ -337,7 +337,7 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
                             continue
                         is_head = known.get(spark_hash(joined))
                         if is_head is None:
-                            if not any(spark_hash(joined[:n]) in opens for n in range(2, OPENING + 1)):
+                            if not any(spark_hash(joined[:n]) in opens for n in sizes):
                                 continue  # no repeated line begins like this
                             parts = [p for p in map(letters, line.split()) if p]
                             if covered(parts, lambda hs: [h in known for h in hs], lambda a, e, p=parts: spark_hash("".join(p[a:e]))):
