@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
-from corvane.session import bounded_rows, broadcast_if_small, least_hashed
+from corvane.session import at_most, bounded_rows, least_hashed
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -33,7 +33,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     ln(1 + (N - df + 0.5) / (df + 0.5)); a word that a query repeats counts as often as it stands there.
     """
     terms = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    listed = broadcast_if_small(terms.select("term").distinct(), 100_000)
+    few = F.broadcast if at_most(terms, 100_000) else lambda df: df  # the weights have no more rows than the terms
+    listed = few(terms.select("term").distinct())
     sized = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
     totals = sized.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
     postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(listed, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -41,7 +42,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     weights = terms.join(df_, "term").withColumn("t", totals).select("*", "t.n", "t.avgdl")
     weights = weights.select("query_id", "term", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(broadcast_if_small(weights, 1_000_000), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return postings.join(few(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 # --- dense -----------------------------------------------------------------------------------------------------------

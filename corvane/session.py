@@ -29,8 +29,16 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+#: Tables whose rows cost much work each.
+HEAVY = {"documents", "ingest_docs", "crawl_pages"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of a folder. One with costly rows that comes in fewer pieces than there are cores (a single row group, say)
+    is spread over the cores first; a large table has more pieces and is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
