@@ -25,8 +25,9 @@ MAX_SOURCES = 100_000
 MAX_SLOTS = 200_000
 
 
-def schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str, int]]:
-    """(slot, source, block) by earliest deadline first among released blocks."""
+def schedule(weights: dict[str, float], slots: int, blocks: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
+    """(slot, source, block) by earliest deadline first among released blocks. With ``blocks``, a source that has its number
+    of blocks is left out from then on; as many slots as there are blocks then hold every block once."""
     total = sum(weights.values())
     share = {s: Fraction(w / total).limit_denominator(10**9) for s, w in weights.items() if w > 0}
     waiting = [(0, s, 0) for s in sorted(share)]  # release, source, block
@@ -42,7 +43,8 @@ def schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str, int]
             heapq.heappush(ready, (math.ceil((k + 1) / share[s]), release, s, k))
         _, _, s, k = heapq.heappop(ready)
         out.append((t, s, k))
-        heapq.heappush(waiting, (math.floor((k + 1) / share[s]), s, k + 1))
+        if blocks is None or k + 1 < blocks[s]:
+            heapq.heappush(waiting, (math.floor((k + 1) / share[s]), s, k + 1))
     return out
 
 
@@ -94,8 +96,8 @@ def mix(
         take = _fill(weight, {s: supply[s][0] * cap[s] for s in weight}, total)
     actual = sum(take.values())
     block = max(least_block, -(-actual // MAX_SLOTS), 1)
-    slots = sum(-(-t // block) for t in take.values())
-    order = schedule({s: t for s, t in take.items() if t}, slots) if actual else []
+    blocks = {s: -(-t // block) for s, t in take.items() if t}
+    order = schedule({s: take[s] for s in blocks}, sum(blocks.values()), blocks) if actual else []
     place = spark.createDataFrame([(s, k, t) for t, s, k in order], "source string, block bigint, slot bigint")
 
     # ranges of each source's order, of about rows_per_range documents, and what stands before each range
@@ -112,7 +114,9 @@ def mix(
     uses = F.ceil((F.col("take") - F.col("at") - F.col("tokens") / 2) / F.col("supply")).cast("int")  # the last one if half of it fits
     used = at.where(uses > 0).select("source", "key", "tokens", "at", "supply", F.posexplode(F.sequence(F.lit(1), uses)).alias("use0", "use"))
     used = used.select("source", "key", "use", "tokens", (F.col("at") + F.col("use0") * F.col("supply")).alias("start"))
-    plan = used.withColumn("block", F.floor(F.col("start") / block)).join(F.broadcast(place), ["source", "block"]).select("slot", "source", F.col("key").alias(key), "use", "tokens", "start")
+    placed = used.withColumn("block", F.floor(F.col("start") / block)).join(F.broadcast(place), ["source", "block"], "left")
+    slot = F.when(F.col("slot").isNull(), F.raise_error(F.lit("a use has no slot"))).otherwise(F.col("slot"))  # no use may get lost
+    plan = placed.select(slot.cast("bigint").alias("slot"), "source", F.col("key").alias(key), "use", "tokens", "start")
     plan = scratch.keep(plan, "plan")
     got = plan.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("use").alias("most_uses"))
     every = got.agg(F.sum("tokens").alias("every"))

@@ -83,3 +83,18 @@ def test_mixture(spark):
     larger = mix(df, targets, total=10**9).shares.collect()
     assert {r["source"]: r["most_uses"] for r in larger} == {"a": 1, "b": 2, "c": 3, "none": 0}
     assert mix(df.limit(0), targets).plan.count() == 0 and mix(df, targets.limit(0)).plan.count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 5000), min_size=1, max_size=12), st.integers(1, 400))
+def test_every_block_gets_a_slot(take, block):
+    blocks = {s: -(-t // block) for s, t in take.items()}
+    got = schedule(take, sum(blocks.values()), blocks)
+    assert sorted((s, k) for _, s, k in got) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    assert [t for t, _, _ in got] == list(range(len(got)))
+
+
+def test_no_source_loses_its_uses(spark, small):
+    m = mix(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/mix_targets.parquet"))
+    shares = {r["source"]: r["tokens"] for r in m.shares.collect() if r["reachable_share"] > 0}
+    assert len(shares) == 18 and all(shares.values())
