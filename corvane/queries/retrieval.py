@@ -50,10 +50,10 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact ten best that the cluster index finds for the stated queries."""
+    """Share of the exact ten best that the cluster index finds for the stated queries, with its defaults."""
     v, q = _vectors(spark, d)
     exact = search.dense_top_k(v, q, 10).select("query_id", "doc_id")
-    got = search.ClusterIndex.build(v, clusters=32).search(q, 10, 24).select("query_id", "doc_id")
+    got = search.ClusterIndex.build(v).search(q, 10).select("query_id", "doc_id")
     return exact.join(got.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").agg(F.count("*").alias("wanted"), (F.count("hit") / F.count("*")).alias("recall"))
 
 

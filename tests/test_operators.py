@@ -125,6 +125,13 @@ def test_dense_against_brute_force(spark, small):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_index_recall_with_defaults(spark):
+    from corvane.queries.retrieval import index_recall
+
+    got = index_recall(spark, "/root/testdata/sf0.1").first()
+    assert got["wanted"] == 400 and got["recall"] >= 0.9
+
+
 def test_fusion_filters_and_rerank(spark, rows):
     legs = [spark.createDataFrame(x, "query_id int, doc_id int, rank int") for x in ([(1, 1, 1), (1, 2, 2)], [(1, 2, 1), (1, 3, 2)])]
     assert [r["doc_id"] for r in search.reciprocal_rank_fusion(legs, 3).orderBy("rank").collect()] == [2, 1, 3]
