@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +15,36 @@ from corvane.session import read
 TEXTS = ("search index", "harbour office weather", "vieux phare canal", "Wasserturm Regen", "biblioteca horario", "vuurtoren haven", "retry queue on a slow network", "mountain hut budget")
 
 
-def _queries(spark: SparkSession) -> DataFrame:
+def _queries(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS, 1)], "query_id bigint, query string")
 
 
-def flagship_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """The stated set, which grows with the table: titles of every fiftieth document."""
+    return read(spark, d, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+
+
+def _scores(docs: DataFrame, asked: DataFrame, ask: Callable) -> DataFrame:
+    got = search.bm25(docs, asked)
+    return got if ask is _queries else got.withColumn("score", F.round("score", 9))  # copies tie whatever the order of their sums
+
+
+def flagship_bm25_topk(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
     """The ten best documents of each query with their title and snippet (a top-k report)."""
     docs = read(spark, d, "documents")
-    top = search.top_k(search.bm25(docs, _queries(spark)), 10)
+    top = search.top_k(_scores(docs, ask(spark, d), ask), 10)
     shown = docs.select("doc_id", "source", F.substring("text", 1, 400).alias("snippet"))
     return top.join(shown, "doc_id").select("query_id", "rank", "doc_id", "source", F.round("score", 6).alias("score"), "snippet")
 
 
-def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+def bm25_scores(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
     """Scores of all documents that match a query."""
-    return search.bm25(read(spark, d, "documents"), _queries(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _scores(read(spark, d, "documents"), ask(spark, d), ask).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+def bm25_filtered(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
     docs = read(spark, d, "documents").where(search.payload_filter("news", published_from="2021-01-01", published_to="2023-12-31 00:00:00"))
-    return search.top_k(search.bm25(docs, _queries(spark)), 10).select("query_id", "rank", "doc_id")
+    return search.top_k(_scores(docs, ask(spark, d), ask), 10).select("query_id", "rank", "doc_id")
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -57,24 +70,25 @@ def index_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(got.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").agg(F.count("*").alias("wanted"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_rrf(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
     """Lexical leg by the query, dense leg by a vector of the same number."""
-    docs, (v, _) = read(spark, d, "documents"), _vectors(spark, d)
-    asked = v.where(f"vec_id BETWEEN 1 AND {len(TEXTS)}").select(F.col("vec_id").alias("query_id"), "embedding")
-    legs = [search.top_k(search.bm25(docs, _queries(spark)), 40), search.dense_top_k(v, asked, 40)]
+    docs, (v, asked) = read(spark, d, "documents"), _vectors(spark, d)
+    if ask is _queries:
+        asked = v.where(f"vec_id BETWEEN 1 AND {len(TEXTS)}").select(F.col("vec_id").alias("query_id"), "embedding")
+    legs = [search.top_k(_scores(docs, ask(spark, d), ask), 40), search.dense_top_k(v, asked, 40)]
     return search.reciprocal_rank_fusion(legs, 10).select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
-def fan_out(spark: SparkSession, d: str) -> DataFrame:
+def fan_out(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
     docs = read(spark, d, "documents")
     sources = read(spark, d, "sources").select("source", (F.col("family") != "hn").alias("enabled"), (F.col("family") != "memory").alias("include_in_all"))
-    scores = search.bm25(docs, _queries(spark)).join(docs.select("doc_id", "source"), "doc_id")
+    scores = _scores(docs, ask(spark, d), ask).join(docs.select("doc_id", "source"), "doc_id")
     return search.fan_out(scores, sources, 3, 10).select("query_id", "rank", "doc_id", "source")
 
 
-def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("body")), _queries(spark)
-    found = search.top_k(search.bm25(read(spark, d, "documents"), asked), 50).join(docs, "doc_id").join(asked, "query_id")
+def rerank_overlap(spark: SparkSession, d: str, ask: Callable = _queries) -> DataFrame:
+    docs, asked = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("body")), ask(spark, d)
+    found = search.top_k(_scores(read(spark, d, "documents"), asked, ask), 50).join(docs, "doc_id").join(asked, "query_id")
     return search.rerank(found, search.overlap_scorer, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -137,6 +151,9 @@ QUERIES = {f.__name__: f for f in (
     rank_metrics, mean_metrics, known_item, seeded_sample, stratified_sample, hard_negatives, guardrail,
 )}
 
+STATED = ("bm25_scores", "bm25_filtered", "hybrid_rrf", "fan_out", "rerank_overlap")
+QUERIES |= {"bm25_topk_stated": partial(flagship_bm25_topk, ask=_stated)} | {f"{name}_stated": partial(QUERIES[name], ask=_stated) for name in STATED}
+
 WORDS = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
@@ -195,3 +212,15 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY value DESC, event_id) AS rank FROM v), p AS (SELECT q, min(rank) FILTER (kind = 'positive') AS first FROM r GROUP BY 1), e AS (SELECT max(value) FILTER (kind = 'junk') AS junk_max, min(value) FILTER (kind = 'positive') AS pos_min FROM v)
         SELECT junk_max, pos_min, (SELECT round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) FROM p) AS top1, (SELECT round(avg(coalesce(1.0 / first, 0)), 6) FROM p) AS mrr, junk_max < 100 AND pos_min > junk_max AS passed FROM e""",
 }
+
+
+#: The same over the stated set, with scores rounded before they are ranked.
+STATED_SQL = "SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL"
+
+
+def _stated_sql(sql: str) -> str:
+    sql = sql.replace(ASKED, STATED_SQL).replace(f"doc_id BETWEEN 1 AND {len(TEXTS)}", "doc_id % 50 = 0")
+    return sql.replace("scores AS (SELECT query_id, doc_id, sum(", "scores AS (SELECT query_id, doc_id, round(sum(").replace("dl / avgdl))) AS score", "dl / avgdl))), 9) AS score")
+
+
+SQL |= {"bm25_topk_stated": _stated_sql(SQL["flagship_bm25_topk"])} | {f"{name}_stated": _stated_sql(SQL[name]) for name in STATED}

@@ -31,3 +31,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["bm25_topk_stated", "bm25_scores_stated", "hybrid_rrf_stated", "fan_out_stated", "rerank_overlap_stated"])
+def test_whole_stated_set_is_asked(spark, name):
+    d = "/root/testdata/sf0.01"
+    asked = connect(d).execute("SELECT count(*) FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL").fetchone()[0]
+    assert asked > 8 and QUERIES[name](spark, d).select("query_id").distinct().count() >= asked
