@@ -92,11 +92,11 @@ class History:
         self.sketches: DataFrame | None = None
         self.struck: DataFrame | None = None
 
-    def append(self, records: DataFrame) -> None:
-        """Add the hashes of a batch: contents (hash), bands (hash, id), paragraphs (hash, first and last holder). One shuffle each."""
+    def append(self, records: DataFrame, holders: DataFrame) -> None:
+        """Add the hashes of a batch: contents (hash), bands (hash, id), paragraphs (hash, id) of ``holders``, one record of each content. One shuffle each."""
         tables = {
             "contents": records.select(F.col("batch"), F.col("content").alias("hash")),
-            "paragraphs": records.select("batch", "id", F.explode("paragraphs.hash").alias("hash")).groupBy("batch", "hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")),
+            "paragraphs": holders.where("n > 0").select("batch", "id", F.explode(F.array_distinct("paragraphs.hash")).alias("hash")),
             "bands": band_rows(records.where("n > 0"), self.sketch, ("batch",)).select("batch", F.col("band").alias("hash"), "id"),
         }
         for table, rows in tables.items():
@@ -110,7 +110,7 @@ class History:
 
     def start(self, records: DataFrame) -> None:
         """Take records as accepted without a look at each other."""
-        self.append(records)
+        self.append(records, records.join(records.groupBy("content").agg(F.min("id").alias("id")), ["content", "id"], "left_semi"))
         self.sketches = records.where("n > 0").select("id", "n", "registers")
 
     def admit(self, batch: DataFrame, number: object) -> DataFrame:
@@ -126,12 +126,11 @@ class History:
             copies = self.meet("contents", first.select(F.col("content").alias("hash")), "left_semi").select(F.col("hash").alias("content")).distinct()
             first = first.join(copies, "content", "left_anti")
         fresh = keep(batch.join(first, ["content", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
-        self.append(fresh)
+        self.append(fresh, fresh)
         own = self.spark.table(f"{self.name}_bands").where(F.col("batch") == number).select("hash", F.col("id").alias("id_b"))
         pairs = self.meet("bands", own).select(F.col("id").alias("id_a"), "id_b").where("id_a < id_b")
         parts = fresh.where("n > 0").select(F.col("id").alias("id_b"), "words", F.explode(F.array_distinct("paragraphs")).alias("p")).select("id_b", "words", F.col("p.hash").alias("hash"), F.col("p.size").alias("size"))
-        holders = self.meet("paragraphs", parts.select("hash").distinct(), "left_semi").groupBy("hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        shared = parts.join(holders, "hash").select("id_b", "words", "size", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id_a")).where("id_a < id_b")
+        shared = self.meet("paragraphs", parts).withColumnRenamed("id", "id_a").where("id_a < id_b")  # every holder is tried
         shared = shared.groupBy("id_a", "id_b", "words").agg(F.sum("size").alias("size")).where(F.col("size") >= self.coverage * F.col("words"))
         pairs = pairs.union(shared.select("id_a", "id_b")).distinct()
         if self.struck is not None:
@@ -200,7 +199,7 @@ def repeats_of_accepted(
     not read. The batches are few and walked one after the other, as they would arrive. The tables have as many buckets as
     give each about ``rows_per_bucket`` hashes.
     """
-    sketch = sketch or SetSketch(bands=40)
+    sketch = sketch or SetSketch(bands=64)
     spark = df.sparkSession
     history = History(df.select(key, text), key, text, threshold, sketch)
     signed = history.scratch.keep(sign_records(df, key, batch, text, sketch, least_words), "signed")

@@ -104,3 +104,12 @@ def test_a_chain_of_edits_is_decided_in_order(spark):
     expected = brute_repeats([(k, 1, t) for k, t in enumerate(texts)], 0.6)
     assert {r["id"] for r in repeats_of_accepted(df, threshold=0.6).collect()} == expected == {1, 3}
     assert repeats_of_accepted(df.limit(0)).count() == 0
+
+
+def test_every_holder_of_a_paragraph_is_tried(spark):
+    common = " ".join(f"c{k}" for k in range(60))
+    tail = lambda *x: "\n" + " ".join(x)
+    rows = [(0, 0, common + tail(*[f"o{k}" for k in range(200)])), (1, 0, common + tail(*"abcdefgh")), (2, 0, common + tail(*[f"z{k}" for k in range(300)])), (3, 1, common + tail(*"abcdefgx"))]
+    df = spark.createDataFrame(rows, "ingest_id bigint, batch_no int, text string")
+    blind = SetSketch(bands=1, rows=256)  # its one band only finds equal sets
+    assert {r["id"] for r in repeats_of_accepted(df, threshold=0.6, accepted_batch=0, sketch=blind).collect()} == brute_repeats(rows, 0.6) == {3}
