@@ -2,25 +2,28 @@
 
 One interpolated Kneser-Ney character model per language is fitted on a bounded labelled sample. The models share sorted
 arrays of n-gram hashes: a lookup finds the discounted probability of an n-gram, or the back-off weight of its context,
-for all languages at once. Words are scored with their boundaries, each distinct word of a batch once; a line's score is
-the sum over its words. The language with the lowest cross-entropy a character wins; the odds against the others, scaled
-by a temperature that was fitted on held-out folds of the sample, give the confidence, and below ``reject`` a line is
-left undecided.
+for all languages at once. Words are scored with their boundaries, each distinct word of a batch once.
+
+What a word says about the language depends on how well any model knows it: a name that costs two nats a character in its
+best language is evidence of nothing. Held-out folds of the sample therefore give a temperature for each range of costs a
+character, and a line's cross-entropy is the mean over its characters of the words' costs at those temperatures. The
+language with the least wins; the odds, at a temperature for whole lines from the same folds, are the confidence. Two
+rejections are calibrated there too: odds below ``reject``, and a plain cross-entropy a character that lies further above
+the language's own held-out mean than clean text of that length does, as text of a language without a model has it.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.models import LETTERS, Models, Scorer, fit, posterior, surprise
 from corvane.llm.stuffing import Calibration, assess, calibrate
 from corvane.llm.words import URL, code_lines
 from corvane.session import bounded_rows
@@ -28,11 +31,7 @@ from corvane.session import bounded_rows
 #: Documented bounds: labelled rows to train on; documents of the table to learn from besides, and their lines per language.
 MAX_SAMPLES = 20_000
 OWN_DOCUMENTS = 1_500
-OWN_LINES = 300
-ORDER = 5
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-START, END = 2, 3
-LETTERS = re.compile(r"[^\W\d_]+")
+OWN_LINES = 600
 #: Spellings of language labels, by two-letter code.
 LABELS = {
     "de": "de deu ger german deutsch", "en": "en eng english", "es": "es spa spanish español espanol castellano", "fr": "fr fra fre french français francais",
@@ -48,185 +47,13 @@ def label_code(label: str | None) -> str | None:
     return _LABEL.get(base)
 
 
-# --- the models ------------------------------------------------------------------------------------------------------
-@dataclass(frozen=True)
-class Models:
-    """Per order: sorted hashes of n-grams with their discounted probabilities, and of contexts with their back-off weights."""
-
-    languages: tuple[str, ...]
-    grams: tuple[tuple[np.ndarray, np.ndarray], ...]
-    contexts: tuple[tuple[np.ndarray, np.ndarray], ...]
-    uniform: float
-    temperature: float = 1.0
-    reject: float = 0.4
-
-
-def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each with ORDER - 1 starts before and an end behind; positions to predict; word of each."""
-    pre, post = chr(START) * (ORDER - 1), chr(END)
-    joined = "".join([pre + w + post for w in words])
-    codes = np.frombuffer(joined.encode("utf-32-le"), "uint32").astype("uint64")
-    size = np.array([len(w) + 1 for w in words], "int64")
-    owner = np.repeat(np.arange(len(words)), size)
-    first = np.cumsum(size) - size
-    at = np.arange(size.sum()) + (owner + 1) * (ORDER - 1)
-    del first
-    return codes, at, owner
-
-
-def _hashes(codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Hash of the n characters that end at each position, n = 1..ORDER."""
-    with np.errstate(over="ignore"):
-        out, h, scale = [], np.zeros(len(at), "uint64"), np.uint64(1)
-        for n in range(ORDER):
-            h = h + (codes[at - n] + np.uint64(7)) * scale
-            scale = scale * PRIME
-            out.append(h ^ (h >> np.uint64(29)) ^ np.uint64(n + 1))
-    return out
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    where = np.searchsorted(keys, wanted)
-    where[where == len(keys)] = 0
-    return where, keys[where] == wanted
-
-
-def train(rows: list[tuple[str, str]]) -> Models:
-    """Fit on (language, text) rows. Words count as often as they occur."""
-    words: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in rows:
-        if lang and text:
-            words[lang].update(LETTERS.findall(text.lower()))
-    languages = tuple(sorted(words))
-    grams: list[dict[str, Counter]] = [{} for _ in range(ORDER)]
-    for lang in languages:
-        counts = [Counter() for _ in range(ORDER)]
-        for w, c in words[lang].items():
-            s = chr(START) * (ORDER - 1) + w + chr(END)
-            for i in range(ORDER - 1, len(s)):
-                counts[ORDER - 1][s[i - ORDER + 1 : i + 1]] += c
-        for n in range(ORDER - 2, -1, -1):  # lower orders count the distinct characters that an n-gram follows
-            for g in counts[n + 1]:
-                counts[n][g[1:]] += 1
-        for n in range(ORDER):
-            grams[n][lang] = counts[n]
-    alphabet = {g for lang in languages for g in grams[0][lang]}
-    out_g, out_c = [], []
-    for n in range(ORDER):
-        every = sorted({g for lang in languages for g in grams[n][lang]})
-        heads = sorted({g[:-1] for g in every})
-        gi, hi = {g: k for k, g in enumerate(every)}, {h: k for k, h in enumerate(heads)}
-        prob = np.zeros((len(every), len(languages)))
-        back = np.ones((len(heads), len(languages)))
-        for k, lang in enumerate(languages):
-            c = grams[n][lang]
-            once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
-            discount = once / (once + 2 * twice) if once else 0.5
-            total, kinds = Counter(), Counter()
-            for g, v in c.items():
-                total[g[:-1]] += v
-                kinds[g[:-1]] += 1
-            for g, v in c.items():
-                prob[gi[g], k] = (v - discount) / total[g[:-1]]
-            for h, v in kinds.items():
-                back[hi[h], k] = discount * v / total[h]
-        out_g.append((every, prob))
-        out_c.append((heads, back))
-
-    def table(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not names or not names[0]:
-            return np.zeros(1, "uint64"), values
-        codes = np.array([[ord(x) for x in s] for s in names], "uint64")
-        h = _hashes(codes.ravel(), np.arange(len(names)) * codes.shape[1] + codes.shape[1] - 1)[codes.shape[1] - 1]
-        order = np.argsort(h)
-        return h[order], values[order].astype("float64")
-
-    return Models(languages, tuple(table(*x) for x in out_g), tuple(table(*x) for x in out_c), 1 / (len(alphabet) + 1))
-
-
-def score_words(words: list[str], m: Models) -> np.ndarray:
-    """Negative log-likelihood of each word in every language."""
-    codes, at, owner = _padded(words)
-    h = _hashes(codes, at)
-    before = _hashes(codes, at - 1)
-    p = np.full((len(at), len(m.languages)), m.uniform)
-    live = np.arange(len(at))
-    for n in range(ORDER):
-        if n:  # only positions whose context was seen have more to learn from longer n-grams
-            where, hit = _find(m.contexts[n][0], before[n - 1][live])
-            live = live[hit]
-            if not len(live):
-                break
-            back = m.contexts[n][1][where[hit]]
-        else:
-            back = m.contexts[0][1][np.zeros(len(live), "int64")]
-        where, hit = _find(m.grams[n][0], h[n][live])
-        q = back * p[live]
-        q[hit] += m.grams[n][1][where[hit]]
-        p[live] = q
-    cost = -np.log(p)
-    size = np.bincount(owner, minlength=len(words))
-    return np.add.reduceat(cost, np.cumsum(size) - size, axis=0)
-
-
-class Scorer:
-    """Scores words once; the memory holds at most ``room`` words and is emptied when full."""
-
-    def __init__(self, m: Models, room: int = 200_000) -> None:
-        self.m, self.room, self.seen = m, room, {}
-        self.rows = np.zeros((4096, len(m.languages)))
-
-    def lines(self, words: list[list[str]]) -> np.ndarray:
-        """Cost by language of each list of words."""
-        flat = [w for ws in words for w in ws]
-        new = list(set(flat).difference(self.seen))
-        if len(self.seen) + len(new) > self.room:
-            self.seen.clear()
-            new = list(set(flat))
-        if new:
-            first, last = len(self.seen), len(self.seen) + len(new)
-            if last > len(self.rows):
-                self.rows = np.concatenate([self.rows[:first], np.zeros((last * 2 - first, self.rows.shape[1]))])
-            self.rows[first:last] = score_words(new, self.m)
-            self.seen.update(zip(new, range(first, last), strict=True))
-        size = np.array([len(ws) for ws in words], "int64")
-        owner = np.repeat(np.arange(len(words)), size)
-        idx = np.fromiter(map(self.seen.__getitem__, flat), "int64", len(flat))
-        cost = np.stack([np.bincount(owner, self.rows[idx, k], len(words)) for k in range(self.rows.shape[1])], 1) if len(flat) else np.zeros((len(words), len(self.m.languages)))
-        return cost
-
-
-def posterior(cost: np.ndarray, temperature: float) -> np.ndarray:
-    z = -(cost - cost.min(1, keepdims=True)) / temperature
-    e = np.exp(z)
-    return e / e.sum(1, keepdims=True)
-
-
-def fit(rows: list[tuple[str, str]], more: list[tuple[str, str]] = (), folds: int = 2, reject: float = 0.4) -> Models:
-    """Train on all rows and ``more``; the temperature is the one under which held-out folds of the rows are most likely."""
-    from dataclasses import replace
-
-    rows = [r for r in rows if r[0] and r[1]]
-    fold = [zlib.crc32(t.encode()) % folds for _, t in rows]
-    every = tuple(sorted({x for x, _ in [*rows, *more]}))
-    cost, truth = [], []
-    for f in range(folds):
-        m = train([*(r for r, k in zip(rows, fold, strict=True) if k != f), *more])
-        part = [r for r, k in zip(rows, fold, strict=True) if k == f]
-        if part and m.languages == every:
-            cost.append(Scorer(m).lines([LETTERS.findall(t.lower()) for _, t in part]))
-            truth += [m.languages.index(x) for x, _ in part]
-    best = 1.0
-    if cost:
-        c, t = np.concatenate(cost), np.array(truth)
-        loss = {T: -np.log(np.maximum(posterior(c, T)[np.arange(len(t)), t], 1e-12)).mean() for T in (0.5, 0.7, 1, 1.5, 2, 3, 4, 6, 8, 12, 16)}
-        best = min(loss, key=loss.get)
-    return replace(train([*rows, *more]), temperature=float(best), reject=reject)
-
-
 # --- documents -------------------------------------------------------------------------------------------------------
-def judge(texts: list[str | None], scorer: Scorer, least: int = 25) -> list[tuple[str | None, float, int, list[tuple[int, str, float]]]]:
-    """(main language, confidence, letters, foreign lines as (line_no, language, confidence)) of each text."""
+def judge(texts: list[str | None], scorer: Scorer, least: int = 25, usual: float = 0.9) -> list[tuple[str | None, float, int, list[tuple[int, str, float]]]]:
+    """(main language, confidence, letters, foreign lines as (line_no, language, confidence)) of each text.
+
+    The main language has the most letters in decided lines. A line is in another one if that is likelier, given that a
+    share of ``usual`` of all lines is in the main language, and its own cross-entropy is that of the other language's text.
+    """
     m = scorer.m
     words, lines_of, letters_of = [], [], []
     for text in texts:
@@ -248,9 +75,13 @@ def judge(texts: list[str | None], scorer: Scorer, least: int = 25) -> list[tupl
         letters_of.append(total)
     if not words:
         return [(None, 0.0, n, []) for n in letters_of]
-    cost = scorer.lines(words)
+    cost, plain, chars = scorer.lines(words)
     odds = posterior(cost, m.temperature)
     best, sure = odds.argmax(1), odds.max(1)
+    rate = plain[np.arange(len(best)), best] / chars
+    fits = surprise(rate, chars, best, m) <= m.limit
+    others = max(1, len(m.languages) - 1)
+    lift = np.log(usual * others / (1 - usual)) if usual < 1 else np.inf
     out = []
     for (start, numbers), total in zip(lines_of, letters_of, strict=True):
         if not numbers:
@@ -258,32 +89,56 @@ def judge(texts: list[str | None], scorer: Scorer, least: int = 25) -> list[tupl
             continue
         of = slice(start, start + len(numbers))
         size = np.array([n for _, n in numbers], float)
-        firm = sure[of] >= m.reject
+        firm = (sure[of] >= m.reject) & fits[of]
         votes = np.bincount(best[of][firm], size[firm], len(m.languages))
         whole = posterior(cost[of].sum(0, keepdims=True), m.temperature)[0]
         main = int(votes.argmax()) if votes.sum() else int(whole.argmax())
         confidence = float(votes[main] / votes.sum()) if votes.sum() else float(whole[main])
-        if not votes.sum() and whole[main] < m.reject:
+        n = chars[of].sum()
+        strange = surprise(plain[of, main].sum(keepdims=True) / n, np.array([n]), np.array([main]), m)[0] > m.limit
+        if strange or not votes.sum() and whole[main] < m.reject:
             out.append((None, float(whole[main]), total, []))
             continue
-        foreign = [(no, m.languages[b], float(s)) for (no, n), b, s, ok in zip(numbers, best[of], sure[of], firm, strict=True) if ok and b != main and n >= least]
+        foreign = []
+        for k, ((no, letters), b, good) in enumerate(zip(numbers, best[of], firm, strict=True)):
+            if good and b != main and letters >= least:
+                z = (cost[start + k, main] - cost[start + k]) / m.temperature - lift
+                z[main] = 0.0
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                if p[b] > p[main] and p[b] >= m.reject:
+                    foreign.append((no, m.languages[b], float(p[b])))
         out.append((m.languages[main], confidence, total, foreign))
     return out
 
 
 def own_lines(texts: list[tuple[str, str | None]], m: Models, most: int = OWN_LINES) -> list[tuple[str, str]]:
-    """(language, line) from (text, label) rows that the models and the label agree on, without any line in another language.
+    """(language, line) from (text, label) rows whose main language the models and the label agree on.
 
-    All lines of such texts count, also short ones that the models can't tell yet: notices, bylines, headings. Every
-    language gives equally many at most, so that none gains from names that all of them share.
+    All lines of such texts count but those surely in another language, also short ones that the models can't tell yet:
+    notices, bylines, headings. Some of these are foreign all the same, so a word counts for a language only if it stands
+    in at least half as large a share of that language's texts as of any other's. Each line counts once and the shortest
+    come first, as they have the least to be told by; every language gives equally many at most. The order of the rows
+    doesn't matter.
     """
-    scorer, out = Scorer(m), defaultdict(list)
-    for (text, label), (main, sure, letters, foreign) in zip(texts, judge([t for t, _ in texts], scorer, 10), strict=True):
-        if main is None or foreign or sure < 0.999 or label_code(label) != main or letters < 200:
+    scorer, lines_of, texts_of, share = Scorer(m), defaultdict(set), Counter(), defaultdict(Counter)
+    for (text, label), (main, _, letters, foreign) in zip(texts, judge([t for t, _ in texts], scorer, 10, 0.5), strict=True):
+        if main is None or label_code(label) != main or letters < 200:
             continue
         lines = text.split("\n")
-        out[main] += [(main, x) for x, code in zip(lines, code_lines(lines), strict=True) if not code and len(x) >= 20 and "://" not in x and "www." not in x]
-    return [r for lang in sorted(out) for r in out[lang][:most]]
+        gone = {no for no, _, sure in foreign if sure >= 0.9}
+        own = {x.strip() for no, (x, code) in enumerate(zip(lines, code_lines(lines), strict=True), 1) if no not in gone and not code and len(x.strip()) >= 20 and "://" not in x and "www." not in x}
+        lines_of[main] |= own
+        texts_of[main] += 1
+        for w in {w for x in own for w in LETTERS.findall(x.lower())}:
+            share[w][main] += 1
+    out = []
+    for lang in sorted(lines_of):
+        for x in sorted(lines_of[lang], key=lambda x: (len(x), x))[:most]:
+            words = LETTERS.findall(x.lower())
+            kept = [w for w in words if 2 * share[w][lang] / texts_of[lang] >= max(n / texts_of[k] for k, n in share[w].items())]
+            out.append((lang, " ".join(kept)))
+    return out
 
 
 def _least_hashed(df: DataFrame, text: str, label: str, most: int = OWN_DOCUMENTS) -> list:
@@ -319,9 +174,9 @@ def languages_of(
     a look at the OWN_DOCUMENTS texts with the least hash, whose unmistakable lines the models learn besides the sample.
     """
     rows = [(r["lang"], r["text"]) for r in bounded_rows(samples.select("lang", "text"), MAX_SAMPLES, "language samples")]
-    limits: Calibration = calibrate(rows)
-    some = _least_hashed(df.where(F.length(text).between(200, 20_000)), text, label)
     first = fit(rows, reject=reject)
+    limits: Calibration = calibrate(rows, first)
+    some = _least_hashed(df.where(F.length(text).between(200, 20_000)), text, label)
     models = fit(rows, own_lines([(r[0], r[1]) for r in some if not assess(r[0], limits, quick=True).stuffed], first), reject=reject)
     shared = df.sparkSession.sparkContext.broadcast((models, limits))  # bounded by MAX_SAMPLES
     kind = df.schema[key].dataType.simpleString()

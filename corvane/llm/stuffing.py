@@ -1,60 +1,101 @@
 """Pages of repeated keywords, link lists and product tags instead of sentences.
 
 Sentences need function words; keyword lists do without. A text is cut into units (lines, short neighbouring lines
-pooled), and a unit counts as list-like when its share of function words stays below what the language needs. The share
-each language needs is calibrated on the labelled language samples. A page is stuffed when most of its words stand in
-list-like units and those units show what stuffing looks like: a top word or word pair that takes a large share, repeated
-lines, many links, or separators in place of grammar. Program code is neither and is left out of both counts.
+pooled), and a unit counts as list-like when its share of function words stays below what every language needs. A page is
+stuffed when most of its words stand in list-like units and those units show what stuffing looks like: a top word or word
+pair that takes a large share, repeated lines, many links, or separators in place of grammar. Program code is neither and
+is left out of both counts.
+
+The needed shares and the limits of the signals are calibrated per language on the labelled samples. Languages without a
+fixed list of function words get theirs from the samples, by document frequency. A text that the character models of all
+languages find strange is in a language nobody has described: its function words are unknown, so that it looks list-like
+whatever it is, and only the signals that need no language decide, at stricter limits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.words import FUNCTION_OF, LANGUAGES, URL, WORD, code_lines
+from corvane.llm.models import LETTERS, Models, strange
+from corvane.llm.models import fit as fit_models
+from corvane.llm.words import FUNCTION_WORDS, URL, WORD, code_lines
 from corvane.session import bounded_rows
 
 #: Documented bound of the calibration sample: labelled rows fitted on the driver.
 MAX_SAMPLES = 20_000
 #: Fixed value: marks that belong to sentences; every other mark separates entries.
-SENTENCE_MARKS = frozenset(".?!:'\"’‘“”«»()-_–—")
+SENTENCE_MARKS = frozenset(".?!:'\"’‘“”«»()-_–—。，、！？：；「」『』（）《》।؟،")
 #: Times a word or word pair must occur before its share says anything.
 REPEATS = 3
+#: Share of a language's sample texts that a function word stands in, where there is no fixed list.
+FREQUENT = 0.15
+SIGNALS = ("top_word", "top_pair", "repeated_lines", "links", "separators")
 
 
 @dataclass(frozen=True)
 class Calibration:
-    """Function-word share below which a unit is list-like, by position in LANGUAGES, and the limits of the signals."""
+    """Function-word share below which a unit is list-like and limits of the signals, both by language, with their words.
 
+    ``languages`` names them in order; ``function_of`` gives the positions of the languages that a word belongs to.
+    """
+
+    languages: tuple[str, ...]
+    function_of: dict[str, tuple[int, ...]]
     need: tuple[float, ...]
+    limits: tuple[dict[str, float], ...] = ()
+    models: Models | None = None
     most: float = 0.5
     least_words: int = 12
     pool: int = 16
     short: int = 8
     prose: float = 1.5
-    top_word: float = 0.08
-    top_pair: float = 0.05
-    repeated_lines: float = 0.3
-    links: float = 0.15
-    separators: float = 0.12
-
-
-def calibrate(rows: list[tuple[str, str]], fraction: float = 0.5, **limits: float) -> Calibration:
-    """Fit the needed function-word share on (language, text) rows: a fraction of the mean share in clean text."""
-    hit, words = Counter(), Counter()
-    for lang, text in rows:
-        if lang in LANGUAGES and text:
-            k, w = LANGUAGES.index(lang), WORD.findall(text.lower())
-            hit[k] += sum(k in FUNCTION_OF.get(x, ()) for x in w)
-            words[k] += len(w)
-    known = [hit[k] / words[k] for k in range(len(LANGUAGES)) if words[k]]
-    usual = sum(known) / len(known) if known else 0.36
-    return Calibration(tuple(fraction * (hit[k] / words[k] if words[k] else usual) for k in range(len(LANGUAGES))), **limits)
+    strict: float = 2.5
+    least: dict[str, float] = field(default_factory=lambda: {"top_word": 0.08, "top_pair": 0.05, "repeated_lines": 0.3, "links": 0.15, "separators": 0.12})
+
+    def limit(self, lang: int | None) -> dict[str, float]:
+        return self.limits[lang] if lang is not None and self.limits else self.least
+
+
+def calibrate(rows: list[tuple[str, str]], models: Models | None = None, fraction: float = 0.5, margin: float = 1.5, **given: float) -> Calibration:
+    """Fit on (language, text) rows: the needed function-word share is a fraction of the mean share in clean text; a
+    signal's limit is ``margin`` times what it reaches in stretches of clean text of 200 words or more, at least the usual one."""
+    texts: dict[str, list[list[str]]] = defaultdict(list)
+    raw: dict[str, list[str]] = defaultdict(list)
+    for lang, text in sorted({(lang, text) for lang, text in rows if lang and text}):
+        if WORD.search(text):
+            texts[lang].append(WORD.findall(text.lower()))
+            raw[lang].append(text)
+    languages = tuple(sorted(set(FUNCTION_WORDS) | set(texts)))
+    function_of: dict[str, tuple[int, ...]] = {}
+    for k, lang in enumerate(languages):
+        often = Counter(w for words in texts[lang] for w in set(words)) if lang not in FUNCTION_WORDS else {}
+        for w in FUNCTION_WORDS[lang].split() if lang in FUNCTION_WORDS else sorted(w for w, n in often.items() if n >= FREQUENT * len(texts[lang])):
+            function_of[w] = (*function_of.get(w, ()), k)
+    share = {}
+    for k, lang in enumerate(languages):
+        words = [w for x in texts[lang] for w in x]
+        if words:
+            share[k] = sum(k in function_of.get(w, ()) for w in words) / len(words)
+    usual = sum(share.values()) / len(share) if share else 0.36
+    c = Calibration(languages, function_of, tuple(fraction * share.get(k, usual) for k in range(len(languages))), models=models or (fit_models(rows) if texts else None), **given)
+    limits = []
+    for lang in languages:
+        most, stretch, n = dict(c.least), [], 0
+        for text, words in zip(raw[lang], texts[lang], strict=True):
+            stretch.append(text)
+            n += len(words)
+            if n >= 200:
+                got = Assessment()
+                _signals(got, WORD.findall(" ".join(stretch).lower()), stretch, 0, n, c)
+                most = {s: max(v, margin * getattr(got, s)) if s in ("top_word", "top_pair", "separators") else v for s, v in most.items()}  # samples repeat whole texts
+                stretch, n = [], 0
+        limits.append(most)
+    return Calibration(**{**c.__dict__, "limits": tuple(limits)})
 
 
 @dataclass
@@ -69,15 +110,28 @@ class Assessment:
     stuffed: bool = False
 
 
-def reads_like_prose(text: str, c: Calibration) -> bool:
-    """Whether the whole text has so many function words that it can't be stuffed, whatever its parts look like."""
-    words = WORD.findall(text.lower())
-    hits = [0] * len(LANGUAGES)
+def _language(words: list[str], c: Calibration) -> tuple[int | None, bool]:
+    """(language whose function words stand out most, whether they are so many that the text can't be stuffed)."""
+    hits, known = [0] * len(c.languages), c.function_of
     for w in words:
-        if w in FUNCTION_OF:
-            for k in FUNCTION_OF[w]:
+        if w in known:
+            for k in known[w]:
                 hits[k] += 1
-    return any(h >= c.prose * need * len(words) > 0 for h, need in zip(hits, c.need, strict=True))
+    ratio = [h / (need * len(words)) if need and words else 0.0 for h, need in zip(hits, c.need, strict=True)]
+    top = max(ratio, default=0.0)
+    return (ratio.index(top) if top else None), top >= c.prose
+
+
+def _signals(out: Assessment, words: list[str], lines: list[str], linked: int, n: int, c: Calibration) -> None:
+    size = max(1, len(words))
+    topic = Counter(w for w in words if w not in c.function_of)
+    pairs = Counter(p for p in zip(words, words[1:], strict=False) if p[0] not in c.function_of and p[1] not in c.function_of)
+    ends = [x.strip().lower() for x in lines]
+    out.top_word = max((v for v in topic.values() if v >= REPEATS), default=0) / size
+    out.top_pair = max((v for v in pairs.values() if v >= REPEATS), default=0) * 2 / size
+    out.repeated_lines = 1 - len(set(ends)) / len(ends)
+    out.links = linked / n
+    out.separators = sum(not (ch.isalnum() or ch.isspace() or ch in SENTENCE_MARKS) for x in ends for ch in x) / n
 
 
 def assess(text: str | None, c: Calibration, quick: bool = False) -> Assessment:
@@ -88,14 +142,14 @@ def assess(text: str | None, c: Calibration, quick: bool = False) -> Assessment:
     out = Assessment()
     if not text:
         return out
-    prose = reads_like_prose(text, c)
+    lang, prose = _language(WORD.findall(text.lower()), c)
     if prose and quick:
         return out
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     code = code_lines(lines)
     units: list[tuple[int, list[int], list[str], list[str], int]] = []  # words, hits by language, words without links, lines, words in links
     pool: list | None = None
-    n_lang = len(LANGUAGES)
+    n_lang = len(c.languages)
     for line, is_code in zip(lines, code, strict=True):
         if is_code:
             continue
@@ -111,7 +165,7 @@ def assess(text: str | None, c: Calibration, quick: bool = False) -> Assessment:
             continue
         hits = [0] * n_lang
         for w in words:
-            for k in FUNCTION_OF.get(w, ()):
+            for k in c.function_of.get(w, ()):
                 hits[k] += 1
         unit = (n, hits, words, [line], linked)
         if n >= c.short:
@@ -135,17 +189,11 @@ def assess(text: str | None, c: Calibration, quick: bool = False) -> Assessment:
     if not n:
         return out
     words = [w for u in listed for w in u[2]]
-    ends = [x.strip().lower() for u in listed for x in u[3]]
-    size = max(1, len(words))
-    topic = Counter(w for w in words if w not in FUNCTION_OF)
-    pairs = Counter(zip(words, words[1:], strict=False))
-    out.top_word = max((v for v in topic.values() if v >= REPEATS), default=0) / size
-    out.top_pair = max((v for v in pairs.values() if v >= REPEATS), default=0) * 2 / size
-    out.repeated_lines = 1 - len(set(ends)) / len(ends)
-    out.links = sum(u[4] for u in listed) / n
-    out.separators = sum(not (ch.isalnum() or ch.isspace() or ch in SENTENCE_MARKS) for x in ends for ch in x) / n
-    signals = out.top_word >= c.top_word or out.top_pair >= c.top_pair or out.repeated_lines >= c.repeated_lines or out.links >= c.links or out.separators >= c.separators
-    out.stuffed = out.listed > c.most and signals and not prose
+    _signals(out, words, [x for u in listed for x in u[3]], sum(u[4] for u in listed), n, c)
+    limit = c.limit(lang)
+    out.stuffed = out.listed > c.most and not prose and any(getattr(out, s) >= limit[s] for s in SIGNALS)
+    if out.stuffed and c.models is not None and strange(LETTERS.findall(" ".join(words)), c.models):
+        out.stuffed = any(getattr(out, s) >= min(c.strict * c.least[s], 0.9) for s in SIGNALS)
     return out
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
-
 #: Words that carry a sentence rather than a topic (articles, pronouns, prepositions, conjunctions,
 #: auxiliaries), by language.
 FUNCTION_WORDS = {
@@ -27,30 +25,28 @@ FUNCTION_WORDS = {
     "como se não seu sua seus suas ao à aos é são era foi ser tem há mais muito já desde até entre antes depois este esta embora "
     "porque onde lhe segundo",
 }
-LANGUAGES = tuple(sorted(FUNCTION_WORDS))
-FUNCTION_OF: dict[str, tuple[int, ...]] = {}
-for _k, _l in enumerate(LANGUAGES):
-    for _w in FUNCTION_WORDS[_l].split():
-        FUNCTION_OF[_w] = (*FUNCTION_OF.get(_w, ()), _k)
+FUNCTION_OF = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
 WORD = re.compile(r"\w+")
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+", re.I)
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 #: Fixed value: what marks a line outside a fence as program code: a prompt, a call or assignment, a block or a statement end.
-CODE = re.compile(r"^\s*(?:\$ |>>> |#include\b|import \w+$|from \w+ import |def \w+\(|class \w+[:(]|return\b.*[;)]|[\w.]+ ?= ?[\w.\[{'\"(]+.*[\])'\"}]$|[\w.]+\(.*\);?$|.*[{};]\s*$|</?\w+[^>]*>\s*$)")
-
+CODE = re.compile(r"^\s*(?:\$ |>>> |#include\b|import \w+$|from \w+ import |def \w+\(|class \w+[:(]|return\b.*[;)]|[\w.]+ ?= ?[\w.\[{'\"(]+.*[\])'\"}]$|[\w.]+\(.*\);?$|</?\w+[^>]*>\s*$)")
 
-def strings(column: pa.Array) -> list:
-    return column.to_pylist()
+#: The end of a block or statement, which is code where at least one character in twenty is a mark.
+STATEMENT_END = re.compile(r"[{};]\s*$")
+SYMBOL = re.compile(r"[^\w\s]")
 
 
 def code_lines(lines: list[str]) -> list[bool]:
-    """Whether each line is program code: inside a fence, a fence itself, or of the form of a statement."""
-    out, fenced = [], False
-    for line in lines:
-        if FENCE.match(line):
-            fenced = not fenced
-            out.append(True)
-        else:
-            out.append(fenced or bool(CODE.match(line)) and len(line) < 300)
+    """Whether each line is program code: between two fences, a fence itself, or of the form of a statement.
+
+    A fence that no other one closes fences nothing, so the lines after it count by their own form.
+    """
+    fences = [k for k, line in enumerate(lines) if FENCE.match(line)]
+    out = [bool(CODE.match(line)) or STATEMENT_END.search(line) is not None and len(SYMBOL.findall(line)) >= 0.05 * len(line) for line in lines]
+    for first, last in zip(fences[::2], fences[1::2], strict=False):
+        out[first : last + 1] = [True] * (last + 1 - first)
+    for k in fences:
+        out[k] = True
     return out

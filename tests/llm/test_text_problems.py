@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, stuffing
+from corvane.llm import langid, models, stuffing
 from corvane.llm.maincontent import Weights, cut_labels, kind_of, main_content, max_flow_labels
 from corvane.llm.sitelines import components, repeated_lines, without_lines
 from corvane.session import Scratch
@@ -25,9 +25,9 @@ def labelled(samples):
 def test_held_out_accuracy(labelled):
     right = 0
     for fold in range(4):
-        m = langid.train([r for k, r in enumerate(labelled) if k % 4 != fold])
+        m = models.train([r for k, r in enumerate(labelled) if k % 4 != fold])
         part = [r for k, r in enumerate(labelled) if k % 4 == fold]
-        cost = langid.Scorer(m).lines([langid.LETTERS.findall(t.lower()) for _, t in part])
+        cost, _, _ = models.Scorer(m).lines([models.LETTERS.findall(t.lower()) for _, t in part])
         right += sum(m.languages[k] == lang for k, (lang, _) in zip(cost.argmin(1), part, strict=True))
     assert right / len(labelled) > 0.95
 
@@ -35,21 +35,21 @@ def test_held_out_accuracy(labelled):
 def test_probabilities_sum_to_one(labelled):
     import numpy as np
 
-    m = langid.train(labelled[:200])
+    m = models.train(labelled[:200])
     total = np.zeros(len(m.languages))
-    letters = sorted({ch for _, t in labelled[:200] for w in langid.LETTERS.findall(t.lower()) for ch in w})
+    letters = sorted({ch for _, t in labelled[:200] for w in models.LETTERS.findall(t.lower()) for ch in w})
     # the first character of a word: all one-letter beginnings and the end of an empty word
-    codes, at, owner = langid._padded(letters)
+    codes, at, owner = models._padded(letters)
     first = at[np.flatnonzero(np.diff(owner, prepend=-1))]
-    h, before = langid._hashes(codes, first), langid._hashes(codes, first - 1)
+    h, before = models._hashes(codes, first), models._hashes(codes, first - 1)
     p = np.full((len(first), len(m.languages)), m.uniform)
-    for n in range(langid.ORDER):
+    for n in range(models.ORDER):
         if n:
-            where, hit = langid._find(m.contexts[n][0], before[n - 1])
+            where, hit = models._find(m.contexts[n][0], before[n - 1])
             back = np.where(hit[:, None], m.contexts[n][1][where], 1.0)
         else:
             back = np.repeat(m.contexts[0][1], len(first), 0)
-        where, hit = langid._find(m.grams[n][0], h[n])
+        where, hit = models._find(m.grams[n][0], h[n])
         p = back * p + np.where(hit[:, None], m.grams[n][1][where], 0.0)
     total = p.sum(0)
     assert ((total > 0.97) & (total <= 1.0001)).all()
