@@ -115,26 +115,29 @@ def judge(texts: list[str | None], scorer: Scorer, least: int = 25, usual: float
 def own_lines(texts: list[tuple[str, str | None]], m: Models, most: int = OWN_LINES) -> list[tuple[str, str]]:
     """(language, line) from (text, label) rows whose main language the models and the label agree on.
 
-    All lines of such texts count but those surely in another language, also short ones that the models can't tell yet:
-    notices, bylines, headings. Some of these are foreign all the same, so a word counts for a language only if it stands
-    in at least half as large a share of that language's texts as of any other's. Each line counts once and the shortest
-    come first, as they have the least to be told by; every language gives equally many at most. The order of the rows
-    doesn't matter.
+    A line counts for its document's language if the models, asked without regard to the document, also find that one
+    likeliest, however unsure they are: notices, bylines and headings become better known by that, and a site's lines in
+    another language aren't learned as the document's. For the same reason a word counts only if it stands in at least
+    half as large a share of that language's texts as of any other's. Each line counts once; those in most texts come
+    first, then short ones, as they have the least to be told by; every language gives equally many at most. The order of
+    the rows doesn't matter.
     """
-    scorer, lines_of, texts_of, share = Scorer(m), defaultdict(set), Counter(), defaultdict(Counter)
-    for (text, label), (main, _, letters, foreign) in zip(texts, judge([t for t, _ in texts], scorer, 10, 0.5), strict=True):
+    scorer, lines_of, texts_of, share = Scorer(m), defaultdict(Counter), Counter(), defaultdict(Counter)
+    for (text, label), (main, _, letters, _) in zip(texts, judge([t for t, _ in texts], scorer), strict=True):
         if main is None or label_code(label) != main or letters < 200:
             continue
         lines = text.split("\n")
-        gone = {no for no, _, sure in foreign if sure >= 0.9}
-        own = {x.strip() for no, (x, code) in enumerate(zip(lines, code_lines(lines), strict=True), 1) if no not in gone and not code and len(x.strip()) >= 20 and "://" not in x and "www." not in x}
-        lines_of[main] |= own
+        own = sorted({x.strip() for x, code in zip(lines, code_lines(lines), strict=True) if not code and len(x.strip()) >= 20 and "://" not in x and "www." not in x and LETTERS.search(x)})
+        if own:
+            cost, _, _ = scorer.lines([LETTERS.findall(x.lower()) for x in own])
+            own = [x for x, k in zip(own, cost.argmin(1), strict=True) if m.languages[k] == main]
+        lines_of[main].update(own)
         texts_of[main] += 1
         for w in {w for x in own for w in LETTERS.findall(x.lower())}:
             share[w][main] += 1
     out = []
     for lang in sorted(lines_of):
-        for x in sorted(lines_of[lang], key=lambda x: (len(x), x))[:most]:
+        for x, _ in sorted(lines_of[lang].items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:most]:
             words = LETTERS.findall(x.lower())
             kept = [w for w in words if 2 * share[w][lang] / texts_of[lang] >= max(n / texts_of[k] for k, n in share[w].items())]
             out.append((lang, " ".join(kept)))
