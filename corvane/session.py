@@ -52,6 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever storage the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Tables written to shared storage to cut lineage: they survive the loss of an executor, unlike cached blocks.
 
