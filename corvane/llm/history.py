@@ -1,46 +1,55 @@
 """New batches against everything accepted before, without going through the history again.
 
-The history is three bucketed tables of hashes: for each accepted record its content hash, the hashes of its paragraphs and
-the hashes of its sketch bands. A batch is signed once and meets the table in joins that stay within buckets: equal
+The history is kept in a folder: a table of hashes, bucketed by hash (for each accepted record its content hash, the
+hashes of its paragraphs and of its sketch bands), and the accepted records themselves, in shards of the id. Another
+session opens it by its path. A batch is signed once and meets the hashes in joins that stay within buckets: equal
 content hashes are full copies; records of whose words a good part stands in shared paragraphs, and records that share a
-band, become candidate pairs, which are then estimated and compared exactly. The hashes of the batch are appended, and
-records that repeat an accepted one are struck. Signing, the costly part, is done once per record. Texts are needed again only
-for the few records in a candidate pair; a semi-join on their ids fetches them, which scans the text column and shuffles
-nothing else.
+band, become candidate pairs. Sketches of the candidates, then texts of the likely ones, are read from the shards that
+hold them; what is accepted is appended.
 
 Paragraphs alone miss pairs whose edits touch every paragraph; the bands are there for those.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.neardup import band_rows, verified
+from corvane.llm.neardup import band_rows, verify
 from corvane.llm.sketch import ODD, SPAN, WORDS, SetSketch, _mix, estimate_pairs, packed, word_hashes
-from corvane.session import Scratch
+from corvane.session import Scratch, broadcast_if_small, exists
 
 
 def sign_records(df: DataFrame, key: str, batch: str, text: str, sketch: SetSketch, least_words: int) -> DataFrame:
-    """``(id, batch, content, n, words, registers, paragraphs)`` of each record with a text; one pass.
+    """``(id, batch, content, check, n, words, registers, paragraphs, text)`` of each record with a text; one pass.
 
-    ``content`` is the hash of the set of five-word runs, or of the normalised text where that has fewer than five words.
+    ``content`` and ``check`` are hashes (96 bits together) of the set of five-word runs, or of the normalised text where that has fewer than five words.
     """
-    schema = f"id {df.schema[key].dataType.simpleString()}, batch {df.schema[batch].dataType.simpleString()}, content bigint, n int, words int, registers binary, paragraphs array<struct<hash:bigint,size:int>>"
+    schema = f"id {df.schema[key].dataType.simpleString()}, batch {df.schema[batch].dataType.simpleString()}, content bigint, check int, n int, words int, registers binary, paragraphs array<struct<hash:bigint,size:int>>, text string"
     pair = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32())]))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content: list[int] = []
+        check: list[int] = []
+
+        def digest(x: str | bytes) -> None:
+            h = xxhash.xxh3_128_intdigest(x)
+            content.append(signed(h & (1 << 64) - 1))
+            check.append((h >> 64 & (1 << 32) - 1) - (1 << 31))
+
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                content, count, total, paragraphs, sets, some = [], [], [], [], [], []
+                content.clear()
+                check.clear()
+                count, total, paragraphs, sets, some = [], [], [], [], []
                 for k, t in enumerate(b.column(2).to_pylist()):
                     low = t.lower()
                     lines = [WORDS.findall(x) for x in low.split("\n")]
@@ -48,7 +57,7 @@ def sign_records(df: DataFrame, key: str, batch: str, text: str, sketch: SetSket
                     total.append(len(words))
                     paragraphs.append([{"hash": signed(xxhash.xxh3_64_intdigest(" ".join(x))), "size": len(x)} for x in lines if len(x) >= least_words])
                     if len(words) < SPAN:
-                        content.append(signed(xxhash.xxh3_64_intdigest("t" + " ".join(low.split()))))
+                        digest("t" + " ".join(low.split()))
                         count.append(0)
                         continue
                     h = word_hashes(words)
@@ -57,7 +66,7 @@ def sign_records(df: DataFrame, key: str, batch: str, text: str, sketch: SetSket
                         for i in range(1, SPAN):
                             s = _mix(s * ODD + h[i : len(h) - SPAN + 1 + i])
                     s = np.unique(s)
-                    content.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())))
+                    digest(s.tobytes())
                     count.append(len(s))
                     sets.append(s)
                     some.append(k)
@@ -65,119 +74,207 @@ def sign_records(df: DataFrame, key: str, batch: str, text: str, sketch: SetSket
                 if sets:
                     registers[some] = packed(sketch.registers(sets)).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(count, pa.int32()), pa.array(total, pa.int32()), pa.array(registers, pa.binary()), pa.array(paragraphs, pair)],
-                    names=["id", "batch", "content", "n", "words", "registers", "paragraphs"],
+                    [b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(check, pa.int32()), pa.array(count, pa.int32()), pa.array(total, pa.int32()), pa.array(registers, pa.binary()), pa.array(paragraphs, pair), b.column(2)],
+                    names=["id", "batch", "content", "check", "n", "words", "registers", "paragraphs", "text"],
                 )
 
     return df.where(F.col(key).isNotNull() & F.col(batch).isNotNull() & F.col(text).isNotNull()).select(key, batch, text).mapInArrow(run, schema)
 
 
 class History:
-    """Hashes of accepted records, and the batches that are held against them.
+    """Accepted records in a folder of shared storage, and the batches that are held against them.
+
+    ``hashes`` (hash, id, size, delivery, kind) is a table bucketed by hash: kind 0 holds contents (size is a second hash
+    of the content), 1 paragraphs (size in words), 2 sketch bands. ``records`` (id, n, words, registers, text, delivery)
+    lies in shards of the id. Only accepted records are there, beside the contents of those that were turned down, so
+    nothing has to be struck out later. ``log`` has a row for each delivery that was taken in whole; rows of a delivery
+    that failed half way are not read, and its repetition writes them again, where doubles do no harm.
 
-    ``admit`` takes signed records of one batch, appends their hashes, and returns the ids that repeat an accepted record or
-    an earlier accepted one of the batch. Two records repeat each other if their normalised texts are equal
-    or their five-word runs have a Jaccard similarity of at least ``threshold``.
+    Two records repeat each other if their normalised texts are equal or their five-word runs have a Jaccard similarity of
+    at least ``threshold``.
     """
 
-    def __init__(self, texts: DataFrame, key: str, text: str, threshold: float, sketch: SetSketch, coverage: float = 0.5, buckets: int | None = None) -> None:
-        self.spark = texts.sparkSession
-        self.texts, self.key, self.text = texts, key, text
-        self.threshold, self.sketch, self.coverage = threshold, sketch, coverage
-        self.scratch = Scratch(self.spark, "history")
-        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"history_{uuid.uuid4().hex}"
-        self.path = self.scratch.path("hashes")
-        self.empty = True
-        self.sketches: DataFrame | None = None
-        self.struck: DataFrame | None = None
-
-    def append(self, records: DataFrame, holders: DataFrame) -> None:
-        """Add the hashes of a batch: contents (hash), bands (hash, id), paragraphs (hash, id) of ``holders``, one record of each content. One shuffle each."""
-        tables = {
-            "contents": records.select(F.col("batch"), F.col("content").alias("hash")),
-            "paragraphs": holders.where("n > 0").select("batch", "id", F.explode(F.array_distinct("paragraphs.hash")).alias("hash")),
-            "bands": band_rows(records.where("n > 0"), self.sketch, ("batch",)).select("batch", F.col("band").alias("hash"), "id"),
-        }
-        for table, rows in tables.items():
-            rows = rows.repartition(self.buckets, "hash")
-            rows.write.format("parquet").mode("append").partitionBy("batch").bucketBy(self.buckets, "hash").option("path", f"{self.path}/{table}").saveAsTable(f"{self.name}_{table}")
-        self.empty = False
-
-    def meet(self, table: str, batch: DataFrame, how: str = "inner") -> DataFrame:
-        """Rows of the history whose hash the batch holds. The batch is the side that is built, the history streams past it."""
-        return self.spark.table(f"{self.name}_{table}").join(batch.hint("shuffle_hash"), "hash", how)
-
-    def start(self, records: DataFrame) -> None:
-        """Take records as accepted without a look at each other."""
-        self.append(records, records.join(records.groupBy("content").agg(F.min("id").alias("id")), ["content", "id"], "left_semi"))
-        self.sketches = records.where("n > 0").select("id", "n", "registers")
-
-    def admit(self, batch: DataFrame, number: object) -> DataFrame:
-        """``(id)`` of the records of the batch that repeat an accepted one.
+    def __init__(self, spark: SparkSession, path: str, state: dict) -> None:
+        self.spark, self.path, self.state = spark, path.rstrip("/"), state
+        self.id_type, self.buckets, self.shards = state["id_type"], int(state["buckets"]), int(state["shards"])
+        self.threshold, self.coverage, self.least_words = float(state["threshold"]), float(state["coverage"]), int(state["least_words"])
+        self.sketch = SetSketch(bands=int(state["bands"]), rows=int(state["rows"]))
+        self.scratch = Scratch(spark, "history")
+        self.table = "history_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        spark.sql(
+            f"CREATE TABLE {self.table} (hash BIGINT, id {self.id_type}, size INT, delivery INT, kind INT) USING parquet "
+            f"PARTITIONED BY (kind) CLUSTERED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/hashes'"
+        )
+        self.delivery = 0
+        if exists(spark, f"{self.path}/log"):
+            spark.catalog.recoverPartitions(self.table)
+            self.delivery = spark.read.parquet(f"{self.path}/log").agg(F.max("delivery")).first()[0] or 0
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, id_type: str, threshold: float = 0.8, sketch: SetSketch | None = None, coverage: float = 0.5, least_words: int = 8, buckets: int = 8, shards: int = 1) -> History:
+        """An empty history. ``buckets`` and ``shards`` stay as they are; choose them for the size it will have."""
+        sketch = sketch or SetSketch(bands=64)
+        state = {"id_type": id_type, "buckets": buckets, "shards": shards, "threshold": threshold, "coverage": coverage, "least_words": least_words, "bands": sketch.bands, "rows": sketch.rows}
+        spark.createDataFrame([(k, str(v)) for k, v in state.items()], "name string, value string").coalesce(1).write.parquet(f"{path.rstrip('/')}/state")
+        return cls(spark, path, state)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """A history that another session wrote; reads its few parameters and the log, no record."""
+        return cls(spark, path, {r["name"]: r["value"] for r in spark.read.parquet(f"{path.rstrip('/')}/state").collect()})
+
+    # --- reading and writing ---------------------------------------------------------------------------------------
+    def hashes(self, kind: int) -> DataFrame:
+        return self.spark.table(self.table).where((F.col("kind") == kind) & (F.col("delivery") <= self.delivery))
+
+    def records(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the accepted records with these ids. Only the shards that hold one are read."""
+        got = self.spark.read.parquet(f"{self.path}/records").where(F.col("delivery") <= self.delivery)
+        if self.shards > 1:
+            wanted = [r[0] for r in ids.select(self._shard("id").alias("s")).distinct().collect()]  # at most ``shards`` numbers
+            got = got.where(F.col("shard").isin(wanted))
+        return got.select("id", *columns).join(broadcast_if_small(ids, 1_000_000), "id", "left_semi").dropDuplicates(["id"])
+
+    def _shard(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
+
+    def _append(self, fresh: DataFrame, rows: DataFrame, turned_down: DataFrame | None) -> None:
+        number = F.lit(self.delivery + 1).cast("int").alias("delivery")
+        if turned_down is not None:
+            some = broadcast_if_small(turned_down, 1_000_000)
+            rows = rows.where("kind = 0").union(rows.where("kind > 0").join(some, "id", "left_anti").select(*rows.columns))
+            fresh = fresh.join(some, "id", "left_anti")
+        rows = rows.select("hash", "id", "size", number, "kind").repartition(self.buckets, "hash")
+        rows.write.mode("append").insertInto(self.table)
+        kept = fresh.select("id", "n", "words", "registers", "text", number, self._shard("id").alias("shard"))
+        kept.write.mode("append").partitionBy("shard").parquet(f"{self.path}/records")
+        self.delivery += 1
+        self.spark.range(1).select(F.lit(self.delivery).alias("delivery")).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def compact(self, path: str) -> History:
+        """The same history in another folder, each bucket and shard in one run of files; deliveries leave many small ones."""
+        new = History.create(self.spark, path, self.id_type, self.threshold, self.sketch, self.coverage, self.least_words, self.buckets, self.shards)
+        if self.delivery:
+            rows = self.hashes(0).union(self.hashes(1)).union(self.hashes(2)).distinct()
+            fresh = self.spark.read.parquet(f"{self.path}/records").where(F.col("delivery") <= self.delivery).dropDuplicates(["id"])
+            new._append(fresh.repartition(self.shards, "shard"), rows, None)
+        return new
+
+    def hash_rows(self, fresh: DataFrame) -> DataFrame:
+        """``(hash, id, size, kind)`` of records: content, paragraphs, bands."""
+        long = fresh.where("n > 0")
+        paragraph = long.select("id", F.explode(F.array_distinct("paragraphs")).alias("p"))
+        return (
+            fresh.select(F.col("content").alias("hash"), "id", F.col("check").alias("size"), F.lit(0).alias("kind"))
+            .union(paragraph.select("p.hash", "id", "p.size", F.lit(1)))
+            .union(band_rows(long, self.sketch).select(F.col("band"), "id", F.lit(0), F.lit(2)))
+        )
+
+    # --- a delivery ------------------------------------------------------------------------------------------------
+    def start(self, signed: DataFrame) -> None:
+        """Take signed records as accepted without a look at each other; one of each content stands for its copies."""
+        first = signed.groupBy("content", "check").agg(F.min("id").alias("id"))
+        fresh = self.scratch.keep(signed.join(first, ["content", "check", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
+        self._append(fresh, self.hash_rows(fresh), None)
+
+    def admit(self, signed: DataFrame) -> DataFrame:
+        """``(id)`` of the signed records that repeat an accepted one or an earlier accepted one of the same delivery.
 
         Copies of known contents go at once: what they copy was accepted or repeats an accepted record, as they then do
-        too. The hashes of the others are appended, so that one bucket-local join finds their partners in the history and
-        in the batch. Records that turn out to repeat something are struck by their id, and nothing is held against them.
+        too. The others meet the history in joins within its buckets; candidates are estimated from the sketches, and only
+        texts of likely ones are fetched and compared. What is accepted is appended.
         """
         keep = self.scratch.keep
-        first = batch.groupBy("content").agg(F.min("id").alias("id"))
-        if not self.empty:
-            copies = self.meet("contents", first.select(F.col("content").alias("hash")), "left_semi").select(F.col("hash").alias("content")).distinct()
-            first = first.join(copies, "content", "left_anti")
-        fresh = keep(batch.join(first, ["content", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
-        self.append(fresh, fresh)
-        own = self.spark.table(f"{self.name}_bands").where(F.col("batch") == number).select("hash", F.col("id").alias("id_b"))
-        pairs = self.meet("bands", own).select(F.col("id").alias("id_a"), "id_b").where("id_a < id_b")
-        parts = fresh.where("n > 0").select(F.col("id").alias("id_b"), "words", F.explode(F.array_distinct("paragraphs")).alias("p")).select("id_b", "words", F.col("p.hash").alias("hash"), F.col("p.size").alias("size"))
-        shared = self.meet("paragraphs", parts).withColumnRenamed("id", "id_a").where("id_a < id_b")  # every holder is tried
-        shared = shared.groupBy("id_a", "id_b", "words").agg(F.sum("size").alias("size")).where(F.col("size") >= self.coverage * F.col("words"))
-        pairs = pairs.union(shared.select("id_a", "id_b")).distinct()
-        if self.struck is not None:
-            pairs = pairs.join(self.struck.withColumnRenamed("id", "id_a"), "id_a", "left_anti")
-        pairs = keep(pairs, "pairs")
-        sketches = fresh.where("n > 0").select("id", "n", "registers")
-        self.sketches = sketches if self.sketches is None else self.sketches.union(sketches)
-        repeats = keep(self._resolve(self._edges(pairs), fresh), "struck")
-        self.struck = repeats if self.struck is None else self.struck.union(repeats)
-        self.scratch.drop(pairs)
-        return keep(batch.select("id").join(fresh.select("id").join(repeats, "id", "left_anti"), "id", "left_anti").distinct(), "repeats")
-
-    def _edges(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (id_a before id_b) whose exact similarity reaches the threshold."""
+        first = signed.groupBy("content", "check").agg(F.min("id").alias("id"))
+        if self.delivery:
+            known = self.hashes(0).select(F.col("hash").alias("content"), F.col("size").alias("check"))
+            asked = first.select("content", "check").hint("shuffle_hash")
+            first = first.join(known.join(asked, ["content", "check"], "left_semi").distinct(), ["content", "check"], "left_anti")
+        fresh = keep(signed.join(first, ["content", "check", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
+        rows = keep(self.hash_rows(fresh), "rows")
+        edges = self._edges(self._candidates(fresh, rows), fresh)
+        down = keep(self._resolve(edges, fresh), "down")
+        out = keep(signed.select("id").join(fresh.select("id").join(down, "id", "left_anti"), "id", "left_anti").distinct(), "repeats")
+        self._append(fresh, rows, down)
+        self.scratch.drop(fresh, rows, edges, down)
+        return out
+
+    def _candidates(self, fresh: DataFrame, rows: DataFrame) -> DataFrame:
+        """``(id_a, id_b, old)``: pairs that share a band or, of id_b's words, enough paragraphs; old: id_a is in the history.
+
+        Paragraphs that very many records hold are looked up only as far as they matter. Those of a record are put in
+        order of how often they occur, and the most frequent ones are set aside while they make up less than the share
+        that is asked for: a pair that shares enough must then share one of the others. Nothing is lost by that, and the
+        notice at the foot of every page makes no pairs.
+        """
+        bands = rows.where("kind = 2").select("hash", F.col("id").alias("id_b"))
+        paragraphs = rows.where("kind = 1").select("hash", "id", "size")
+        often = paragraphs.groupBy("hash").agg(F.count("*").alias("many"))
+        if self.delivery:
+            met = self.hashes(1).select("hash").join(often.select("hash").hint("shuffle_hash"), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("more"))
+            often = often.join(met, "hash", "left").select("hash", (F.col("many") + F.coalesce("more", F.lit(0))).alias("many"))
+        ranked = paragraphs.join(often, "hash").join(fresh.select("id", "words"), "id")
+        hot_first = Window.partitionBy("id").orderBy(F.desc("many"), "hash").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.withColumn("reach", F.sum("size").over(hot_first)).where(F.col("reach") >= self.coverage * F.col("words"))
+        # the one that crosses the line is looked up too; what was set aside may all be shared
+        aside = F.min(F.col("reach") - F.col("size")).over(Window.partitionBy("id"))
+        asked = ranked.withColumn("aside", aside).select("hash", F.col("id").alias("id_b"), "size", "words", "aside")
+
+        def enough(shared: DataFrame) -> DataFrame:
+            got = shared.groupBy("id_a", "id_b", "words", "aside").agg(F.sum("size").alias("size"))
+            return got.where(F.col("size") + F.col("aside") >= self.coverage * F.col("words")).select("id_a", "id_b")
+
+        side = lambda df: df.select("hash", F.col("id").alias("id_a"))
+        own = side(rows.where("kind = 2")).join(bands, "hash").where("id_a < id_b").select("id_a", "id_b")
+        own = own.union(enough(side(paragraphs).join(asked, "hash").where("id_a <> id_b")))
+        pairs = own.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.lit(False).alias("old"))
+        if self.delivery:
+            met = side(self.hashes(2)).join(bands.hint("shuffle_hash"), "hash").select("id_a", "id_b")
+            met = met.union(enough(side(self.hashes(1)).join(asked.hint("shuffle_hash"), "hash")))
+            pairs = pairs.union(met.select("id_a", "id_b", F.lit(True)))
+        return self.scratch.keep(pairs.distinct(), "pairs")
+
+    def _edges(self, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
+        """``(id_a, id_b, old)`` of the pairs whose exact similarity reaches the threshold."""
         keep = self.scratch.keep
-        ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-        taken = keep(self.sketches.join(ends, "id", "left_semi"), "taken")
-        side = lambda x: taken.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-        likely = keep(estimate_pairs(pairs.join(side("a"), "id_a").join(side("b"), "id_b"), self.sketch, self.threshold), "likely")
-        ends = likely.select(F.explode(F.array("id_a", "id_b")).alias(self.key)).distinct()
-        texts = keep(self.texts.join(ends, self.key, "left_semi").dropDuplicates([self.key]), "texts")
-        edges = keep(verified(likely, texts, self.key, self.text, self.threshold).select("id_a", "id_b"), "edges")
-        self.scratch.drop(taken, likely, texts)
+
+        def both(of: DataFrame, *columns: str) -> DataFrame:
+            """The pairs with columns of both records, wherever the first one is."""
+            right = fresh.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+            named = lambda df: df.select(F.col("id").alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+            new = of.where("NOT old").join(named(fresh), "id_a")
+            if self.delivery:
+                ids = of.where("old").select(F.col("id_a").alias("id")).distinct()
+                new = new.union(of.where("old").join(named(self.records(ids, *columns)), "id_a"))
+            return new.join(right, "id_b")
+
+        estimated = both(pairs, "n", "registers").select("id_a", "id_b", F.col("n_a"), F.col("n_b"), F.col("registers_a").alias("r_a"), F.col("registers_b").alias("r_b"), "old")
+        likely = keep(estimate_pairs(estimated, self.sketch, self.threshold, keep=("old",)), "likely")
+        edges = keep(verify(both(likely, "text").select("id_a", "id_b", "text_a", "text_b", "old"), self.threshold, keep=("old",)).select("id_a", "id_b", "old"), "edges")
+        self.scratch.drop(pairs, likely)
         return edges
 
     def _resolve(self, edges: DataFrame, fresh: DataFrame) -> DataFrame:
         """``(id)`` of the fresh records with an earlier accepted neighbour, earlier decisions first.
 
         A record whose earlier neighbours are all in the history or settled is decided in the next round, so the rounds
-        are as many as the longest chain of neighbours within the batch, not as the records.
+        are as many as the longest chain of neighbours within the delivery, not as the records.
         """
         keep = self.scratch.keep
-        ids = fresh.select("id")
-        inside = edges.join(ids.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
-        rejected = keep(edges.join(ids.withColumnRenamed("id", "id_a"), "id_a", "left_anti").select(F.col("id_b").alias("id")).distinct(), "rejected")
+        down = edges.where("old").select(F.col("id_b").alias("id")).distinct()
         alive = lambda e, gone: e.join(gone.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
-        left = keep(alive(inside, rejected), "left")
+        left = keep(alive(edges.where("NOT old").select("id_a", "id_b"), down), "left")
         while left.limit(1).count():
             roots = left.select("id_a").distinct().join(left.select(F.col("id_b").alias("id_a")), "id_a", "left_anti")
             gone = keep(left.join(roots, "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct(), "gone")
-            rejected = rejected.union(gone)
+            down = down.union(gone)
             left = keep(alive(left, gone), "left")
-        return rejected
+        return down
 
     def close(self) -> None:
-        for table in ("contents", "paragraphs", "bands"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+        """Forget the table's name in this session and delete what only served the deliveries; the history stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def repeats_of_accepted(
@@ -190,34 +287,39 @@ def repeats_of_accepted(
     least_words: int = 8,
     accepted_batch: int | None = None,
     rows_per_bucket: int = 2_000_000,
+    rows_per_shard: int = 200_000,
+    path: str | None = None,
 ) -> DataFrame:
     """``(id, batch)``: the records that repeat an accepted one, batch after batch.
 
     Records count in order of batch and key. All of ``accepted_batch`` (the history) is accepted as it is. Null texts
     repeat nothing and are repeated by nothing; empty and shorter texts repeat only an equal normalised text. Rows with a
-    null key or batch are left out; rows that repeat a key count once; an empty table gives no rows; other columns are
-    not read. The batches are few and walked one after the other, as they would arrive. The tables have as many buckets as
-    give each about ``rows_per_bucket`` hashes.
+    null key or batch are left out; rows that repeat a key within a batch count once; an empty table gives no rows; other
+    columns are not read. The batches are few and walked one after the other, as they would arrive. The history is made
+    in ``path``, where ``History.open`` finds it for the next batch, or in the scratch folder. Its buckets hold about
+    ``rows_per_bucket`` hashes each, its shards ``rows_per_shard`` records.
     """
     sketch = sketch or SetSketch(bands=64)
     spark = df.sparkSession
-    history = History(df.select(key, text), key, text, threshold, sketch)
-    signed = history.scratch.keep(sign_records(df, key, batch, text, sketch, least_words), "signed")
+    scratch = Scratch(spark, "batches")
+    signed = scratch.keep(sign_records(df, key, batch, text, sketch, least_words), "signed")
     sizes = {r[0]: r[1] for r in signed.groupBy("batch").agg(F.count("*")).collect()}  # one row per batch
-    rows = sum(sizes.values()) * (sketch.bands + 12)
-    history.buckets = max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
+    rows = sum(sizes.values())
+    buckets = max(spark.sparkContext.defaultParallelism, -(-rows * (sketch.bands + 12) // rows_per_bucket))
+    history = History.create(spark, path or scratch.path("history"), df.schema[key].dataType.simpleString(), threshold, sketch, 0.5, least_words, buckets, -(-rows // rows_per_shard) or 1)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", history.buckets)  # joins keep to the buckets, however many partitions are usual
     found = None
     try:
         for number in sorted(sizes):
-            part = signed.where(F.col("batch") == number)
+            part = signed.where(F.col("batch") == number).drop("batch")
             if number == accepted_batch:
                 history.start(part)
                 continue
-            got = history.admit(part, number).select("id", F.lit(number).cast(signed.schema["batch"].dataType).alias("batch"))
+            got = history.admit(part).select("id", F.lit(number).cast(signed.schema["batch"].dataType).alias("batch"))
             found = got if found is None else found.union(got)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         history.close()
+    scratch.drop(*([signed] if path else []))  # without a path the history goes too
     return found if found is not None else spark.createDataFrame([], signed.select("id", "batch").schema)

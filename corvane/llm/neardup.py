@@ -72,11 +72,10 @@ def candidates(bands: DataFrame, scratch: Scratch) -> DataFrame:
     return two.union(left.join(right, "band").where("id_a < id_b").select("id_a", "id_b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """``(id_a, id_b, similarity)`` of the pairs whose exact similarity reaches the threshold."""
+def verify(pairs: DataFrame, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_a, id_b, similarity, *keep)`` of the pairs (id_a, id_b, text_a, text_b, *keep) whose exact similarity reaches the threshold."""
     kind = pairs.schema["id_a"].dataType.simpleString()
-    body = texts.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    both = pairs.join(body.withColumnsRenamed({"id": "id_a", "t": "ta"}), "id_a").join(body.withColumnsRenamed({"id": "id_b", "t": "tb"}), "id_b")
+    more = "".join(f", `{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,10 +87,18 @@ def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, threshold:
                 return memo[t]
 
             got = pa.array([jaccard(of(x), of(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.float64())
-            keep = pa.array(got.to_numpy(zero_copy_only=False) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), got.filter(keep)], names=["id_a", "id_b", "similarity"])
+            chosen = pa.array(got.to_numpy(zero_copy_only=False) >= threshold - 1e-12)
+            columns = [b.column(0), b.column(1), got, *[b.column(4 + k) for k in range(len(keep))]]
+            yield pa.RecordBatch.from_arrays([c.filter(chosen) for c in columns], names=["id_a", "id_b", "similarity", *keep])
+
+    return pairs.select("id_a", "id_b", "text_a", "text_b", *keep).mapInArrow(run, f"id_a {kind}, id_b {kind}, similarity double{more}")
 
-    return both.select("id_a", "id_b", "ta", "tb").mapInArrow(run, f"id_a {kind}, id_b {kind}, similarity double")
+
+def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of the pairs whose exact similarity reaches the threshold."""
+    body = texts.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    both = pairs.join(body.withColumnsRenamed({"id": "id_a", "t": "text_a"}), "id_a").join(body.withColumnsRenamed({"id": "id_b", "t": "text_b"}), "id_b")
+    return verify(both, threshold)
 
 
 @dataclass

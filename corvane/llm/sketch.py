@@ -139,21 +139,22 @@ def unpacked(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(len(column), -1)
 
 
-def estimate_pairs(pairs: DataFrame, sketch: SetSketch, threshold: float, sigmas: float = 5.0) -> DataFrame:
+def estimate_pairs(pairs: DataFrame, sketch: SetSketch, threshold: float, sigmas: float = 5.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop candidate pairs whose likeliest similarity lies so far below the threshold that they can't reach it.
 
-    ``pairs`` has id_a, id_b, n_a, n_b, r_a, r_b (set sizes, packed registers); the result has id_a, id_b. The margin is
-    ``sigmas`` standard errors of the estimate at the threshold.
+    ``pairs`` has id_a, id_b, n_a, n_b, r_a, r_b (set sizes, packed registers); the result has id_a, id_b and the columns
+    of ``keep``. The margin is ``sigmas`` standard errors of the estimate at the threshold.
     """
     floor = threshold - sigmas * math.sqrt(threshold * (1 - threshold) / sketch.size)
     kind = pairs.schema["id_a"].dataType.simpleString()
+    more = "".join(f", `{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 num = lambda k: b.column(k).to_numpy(zero_copy_only=False).astype("float64")
                 got = sketch.similarity(unpacked(b.column(4), "uint16"), unpacked(b.column(5), "uint16"), num(2), num(3))
-                keep = pa.array(got >= floor)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["id_a", "id_b"])
+                chosen = pa.array(got >= floor)
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(chosen) for k in (0, 1, *range(6, 6 + len(keep)))], names=["id_a", "id_b", *keep])
 
-    return pairs.select("id_a", "id_b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"id_a {kind}, id_b {kind}")
+    return pairs.select("id_a", "id_b", "n_a", "n_b", "r_a", "r_b", *keep).mapInArrow(run, f"id_a {kind}, id_b {kind}{more}")
