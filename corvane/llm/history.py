@@ -86,9 +86,9 @@ class History:
 
     ``hashes`` (hash, id, size, delivery, kind) is a table bucketed by hash: kind 0 holds contents (size is a second hash
     of the content), 1 paragraphs (size in words), 2 sketch bands. ``records`` (id, n, words, registers, text, delivery)
-    lies in shards of the id. Only accepted records are there, beside the contents of those that were turned down, so
-    nothing has to be struck out later. ``log`` has a row for each delivery that was taken in whole; rows of a delivery
-    that failed half way are not read, and its repetition writes them again, where doubles do no harm.
+    holds the accepted records in shards of the id; ``struck`` (id) those that repeated something, whose hashes are in the
+    table but name no candidates. ``log`` has a row for each delivery that was taken in whole. Rows of one that failed
+    half way are not read until its repetition writes them again, where doubles do no harm.
 
     Two records repeat each other if their normalised texts are equal or their five-word runs have a Jaccard similarity of
     at least ``threshold``.
@@ -125,8 +125,9 @@ class History:
         return cls(spark, path, {r["name"]: r["value"] for r in spark.read.parquet(f"{path.rstrip('/')}/state").collect()})
 
     # --- reading and writing ---------------------------------------------------------------------------------------
-    def hashes(self, kind: int) -> DataFrame:
-        return self.spark.table(self.table).where((F.col("kind") == kind) & (F.col("delivery") <= self.delivery))
+    def hashes(self, kind: int, delivery: int | None = None) -> DataFrame:
+        """Hashes of one kind up to a delivery, by default the last one that was taken."""
+        return self.spark.table(self.table).where((F.col("kind") == kind) & (F.col("delivery") <= (self.delivery if delivery is None else delivery)))
 
     def records(self, ids: DataFrame, *columns: str) -> DataFrame:
         """Columns of the accepted records with these ids. Only the shards that hold one are read."""
@@ -139,26 +140,32 @@ class History:
     def _shard(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
 
-    def _append(self, fresh: DataFrame, rows: DataFrame, turned_down: DataFrame | None) -> None:
+    def _append_hashes(self, rows: DataFrame) -> None:
         number = F.lit(self.delivery + 1).cast("int").alias("delivery")
-        if turned_down is not None:
-            some = broadcast_if_small(turned_down, 1_000_000)
-            rows = rows.where("kind = 0").union(rows.where("kind > 0").join(some, "id", "left_anti").select(*rows.columns))
-            fresh = fresh.join(some, "id", "left_anti")
-        rows = rows.select("hash", "id", "size", number, "kind").repartition(self.buckets, "hash")
-        rows.write.mode("append").insertInto(self.table)
-        kept = fresh.select("id", "n", "words", "registers", "text", number, self._shard("id").alias("shard"))
+        rows.select("hash", "id", "size", number, "kind").repartition(self.buckets, "hash").write.mode("append").insertInto(self.table)
+
+    def _commit(self, accepted: DataFrame) -> None:
+        number = F.lit(self.delivery + 1).cast("int").alias("delivery")
+        kept = accepted.select("id", "n", "words", "registers", "text", number, self._shard("id").alias("shard"))
         kept.write.mode("append").partitionBy("shard").parquet(f"{self.path}/records")
         self.delivery += 1
         self.spark.range(1).select(F.lit(self.delivery).alias("delivery")).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
+    def struck(self) -> DataFrame | None:
+        path = f"{self.path}/struck"
+        return self.spark.read.parquet(path).select("id").distinct() if exists(self.spark, path) else None
+
     def compact(self, path: str) -> History:
-        """The same history in another folder, each bucket and shard in one run of files; deliveries leave many small ones."""
+        """The same history in another folder, each bucket and shard in one run of files; deliveries leave many small ones.
+        Hashes of struck records, but for their contents, stay behind."""
         new = History.create(self.spark, path, self.id_type, self.threshold, self.sketch, self.coverage, self.least_words, self.buckets, self.shards)
         if self.delivery:
-            rows = self.hashes(0).union(self.hashes(1)).union(self.hashes(2)).distinct()
+            gone = self.struck()
+            rows = self.hashes(1).union(self.hashes(2)).drop("delivery").distinct()
+            rows = rows.join(gone, "id", "left_anti") if gone is not None else rows
+            new._append_hashes(rows.unionByName(self.hashes(0).drop("delivery").distinct()))
             fresh = self.spark.read.parquet(f"{self.path}/records").where(F.col("delivery") <= self.delivery).dropDuplicates(["id"])
-            new._append(fresh.repartition(self.shards, "shard"), rows, None)
+            new._commit(fresh.repartition(self.shards, "shard"))
         return new
 
     def hash_rows(self, fresh: DataFrame) -> DataFrame:
@@ -172,35 +179,43 @@ class History:
         )
 
     # --- a delivery ------------------------------------------------------------------------------------------------
+    def _fresh(self, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(ids, records) of the signed records that are the first of their content, which the history hasn't got."""
+        first = signed.groupBy("content", "check").agg(F.min("id").alias("id"))
+        if self.delivery:
+            known = self.hashes(0).select(F.col("hash").alias("content"), F.col("size").alias("check"))
+            asked = first.select("content", "check").hint("shuffle_hash")
+            first = first.join(known.join(asked, ["content", "check"], "left_semi").distinct(), ["content", "check"], "left_anti")
+        ids = self.scratch.keep(first.select("id"), "ids")
+        return ids, signed.join(broadcast_if_small(ids, 1_000_000), "id", "left_semi").dropDuplicates(["id"])
+
     def start(self, signed: DataFrame) -> None:
         """Take signed records as accepted without a look at each other; one of each content stands for its copies."""
-        first = signed.groupBy("content", "check").agg(F.min("id").alias("id"))
-        fresh = self.scratch.keep(signed.join(first, ["content", "check", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
-        self._append(fresh, self.hash_rows(fresh), None)
+        ids, fresh = self._fresh(signed)
+        self._append_hashes(self.hash_rows(fresh))
+        self._commit(fresh)
+        self.scratch.drop(ids)
 
     def admit(self, signed: DataFrame) -> DataFrame:
         """``(id)`` of the signed records that repeat an accepted one or an earlier accepted one of the same delivery.
 
         Copies of known contents go at once: what they copy was accepted or repeats an accepted record, as they then do
-        too. The others meet the history in joins within its buckets; candidates are estimated from the sketches, and only
-        texts of likely ones are fetched and compared. What is accepted is appended.
+        too. The hashes of the others are appended, so that joins within the buckets, which shuffle nothing, find their
+        partners in the history and in the delivery. Candidates are estimated from the sketches, and only texts of likely
+        ones are fetched and compared. ``signed`` should be a written table: it is read several times.
         """
-        keep = self.scratch.keep
-        first = signed.groupBy("content", "check").agg(F.min("id").alias("id"))
-        if self.delivery:
-            known = self.hashes(0).select(F.col("hash").alias("content"), F.col("size").alias("check"))
-            asked = first.select("content", "check").hint("shuffle_hash")
-            first = first.join(known.join(asked, ["content", "check"], "left_semi").distinct(), ["content", "check"], "left_anti")
-        fresh = keep(signed.join(first, ["content", "check", "id"], "left_semi").dropDuplicates(["id"]), "fresh")
-        rows = keep(self.hash_rows(fresh), "rows")
-        edges = self._edges(self._candidates(fresh, rows), fresh)
-        down = keep(self._resolve(edges, fresh), "down")
-        out = keep(signed.select("id").join(fresh.select("id").join(down, "id", "left_anti"), "id", "left_anti").distinct(), "repeats")
-        self._append(fresh, rows, down)
-        self.scratch.drop(fresh, rows, edges, down)
+        ids, fresh = self._fresh(signed)
+        self._append_hashes(self.hash_rows(fresh))
+        edges = self._edges(self._candidates(fresh), fresh)
+        self._resolve(edges, ids).select("id").write.mode("append").parquet(f"{self.path}/struck/delivery={self.delivery + 1}")
+        down = broadcast_if_small(self.struck(), 1_000_000)
+        accepted = self.scratch.keep(ids.join(down, "id", "left_anti"), "accepted")
+        self._commit(fresh.join(broadcast_if_small(accepted, 1_000_000), "id", "left_semi"))
+        out = self.scratch.keep(signed.select("id").join(broadcast_if_small(accepted, 1_000_000), "id", "left_anti").distinct(), "repeats")
+        self.scratch.drop(ids, edges, accepted)
         return out
 
-    def _candidates(self, fresh: DataFrame, rows: DataFrame) -> DataFrame:
+    def _candidates(self, fresh: DataFrame) -> DataFrame:
         """``(id_a, id_b, old)``: pairs that share a band or, of id_b's words, enough paragraphs; old: id_a is in the history.
 
         Paragraphs that very many records hold are looked up only as far as they matter. Those of a record are put in
@@ -208,32 +223,28 @@ class History:
         that is asked for: a pair that shares enough must then share one of the others. Nothing is lost by that, and the
         notice at the foot of every page makes no pairs.
         """
-        bands = rows.where("kind = 2").select("hash", F.col("id").alias("id_b"))
-        paragraphs = rows.where("kind = 1").select("hash", "id", "size")
-        often = paragraphs.groupBy("hash").agg(F.count("*").alias("many"))
-        if self.delivery:
-            met = self.hashes(1).select("hash").join(often.select("hash").hint("shuffle_hash"), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("more"))
-            often = often.join(met, "hash", "left").select("hash", (F.col("many") + F.coalesce("more", F.lit(0))).alias("many"))
+        now = self.delivery + 1
+        own = F.col("delivery") == now
+        side = lambda kind: self.hashes(kind, now).select("hash", F.col("id").alias("id_a"), (F.col("delivery") < now).alias("old"))
+        bands = self.hashes(2, now).where(own).select("hash", F.col("id").alias("id_b"))
+        met = side(2).join(bands.hint("shuffle_hash"), "hash").where("old OR id_a < id_b").select("id_a", "id_b", "old")
+
+        paragraphs = self.hashes(1, now).where(own).select("hash", "id", "size")
+        often = self.hashes(1, now).select("hash").join(paragraphs.select("hash").hint("shuffle_hash"), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("many"))
         ranked = paragraphs.join(often, "hash").join(fresh.select("id", "words"), "id")
         hot_first = Window.partitionBy("id").orderBy(F.desc("many"), "hash").rowsBetween(Window.unboundedPreceding, 0)
         ranked = ranked.withColumn("reach", F.sum("size").over(hot_first)).where(F.col("reach") >= self.coverage * F.col("words"))
         # the one that crosses the line is looked up too; what was set aside may all be shared
         aside = F.min(F.col("reach") - F.col("size")).over(Window.partitionBy("id"))
         asked = ranked.withColumn("aside", aside).select("hash", F.col("id").alias("id_b"), "size", "words", "aside")
-
-        def enough(shared: DataFrame) -> DataFrame:
-            got = shared.groupBy("id_a", "id_b", "words", "aside").agg(F.sum("size").alias("size"))
-            return got.where(F.col("size") + F.col("aside") >= self.coverage * F.col("words")).select("id_a", "id_b")
-
-        side = lambda df: df.select("hash", F.col("id").alias("id_a"))
-        own = side(rows.where("kind = 2")).join(bands, "hash").where("id_a < id_b").select("id_a", "id_b")
-        own = own.union(enough(side(paragraphs).join(asked, "hash").where("id_a <> id_b")))
-        pairs = own.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.lit(False).alias("old"))
-        if self.delivery:
-            met = side(self.hashes(2)).join(bands.hint("shuffle_hash"), "hash").select("id_a", "id_b")
-            met = met.union(enough(side(self.hashes(1)).join(asked.hint("shuffle_hash"), "hash")))
-            pairs = pairs.union(met.select("id_a", "id_b", F.lit(True)))
-        return self.scratch.keep(pairs.distinct(), "pairs")
+        shared = side(1).join(asked.hint("shuffle_hash"), "hash").where("old OR id_a <> id_b")
+        shared = shared.groupBy("id_a", "id_b", "old", "words", "aside").agg(F.sum("size").alias("size")).where(F.col("size") + F.col("aside") >= self.coverage * F.col("words"))
+        turned = F.when(F.col("old") | (F.col("id_a") < F.col("id_b")), F.struct("id_a", "id_b", "old")).otherwise(F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "old"))
+        pairs = met.union(shared.select(turned.alias("p")).select("p.*"))
+        gone = self.struck()
+        if gone is not None:
+            pairs = pairs.join(broadcast_if_small(gone.withColumnRenamed("id", "id_a"), 1_000_000), "id_a", "left_anti")
+        return self.scratch.keep(pairs.select("id_a", "id_b", "old").distinct(), "pairs")
 
     def _edges(self, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
         """``(id_a, id_b, old)`` of the pairs whose exact similarity reaches the threshold."""
@@ -255,7 +266,7 @@ class History:
         self.scratch.drop(pairs, likely)
         return edges
 
-    def _resolve(self, edges: DataFrame, fresh: DataFrame) -> DataFrame:
+    def _resolve(self, edges: DataFrame, ids: DataFrame) -> DataFrame:
         """``(id)`` of the fresh records with an earlier accepted neighbour, earlier decisions first.
 
         A record whose earlier neighbours are all in the history or settled is decided in the next round, so the rounds
@@ -302,7 +313,10 @@ def repeats_of_accepted(
     sketch = sketch or SetSketch(bands=64)
     spark = df.sparkSession
     scratch = Scratch(spark, "batches")
-    signed = scratch.keep(sign_records(df, key, batch, text, sketch, least_words), "signed")
+    at = scratch.path("signed")
+    signs = sign_records(df, key, batch, text, sketch, least_words)
+    signs.write.partitionBy("batch").parquet(at)
+    signed = spark.read.schema(signs.select(*[c for c in signs.columns if c != "batch"], "batch").schema).parquet(at)
     sizes = {r[0]: r[1] for r in signed.groupBy("batch").agg(F.count("*")).collect()}  # one row per batch
     rows = sum(sizes.values())
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows * (sketch.bands + 12) // rows_per_bucket))
