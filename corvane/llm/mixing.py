@@ -2,9 +2,13 @@
 
 Each source's documents, in a random but fixed order and repeated pass after pass up to its cap, form a stream that is cut
 into blocks of equal size. Block k of a source with share w is released at floor(k / w) and due at ceil((k + 1) / w);
-taking in every slot the released block that is due first keeps each source within one block of its share at any point of
-the mixture. The schedule has a bounded number of slots whatever the size of the data, as the block grows with it; the
-places of the documents come from sums over ranges of their order, never from one long window.
+taking in every slot the released block that is due first keeps each source within one slot of its share at any point of
+the mixture. A document goes with the slot that holds its middle, so half of the longest document comes on top of that.
+Slots are therefore at least as long as the longest document, and the block that bounds the deviation is two slots. The
+last documents of a source are those that fit, then the largest one that fits into what they leave, so that shares come
+out exact but for a rest smaller than any document left over. The schedule has a bounded number of slots whatever the
+size of the data, as the slot grows with it beyond MAX_SLOTS; the places of the documents come from sums over ranges of
+their order, never from one long window.
 """
 
 from __future__ import annotations
@@ -51,10 +55,13 @@ def schedule(weights: dict[str, float], slots: int, blocks: dict[str, int] | Non
 @dataclass
 class Mixture:
     """``plan``: one row per use of a document, ``(slot, source, key, use, tokens, start)``, in order of slot and start;
-    ``shares``: ``(source, target_share, reachable_share, tokens, documents, most_uses, actual_share)`` per source."""
+    ``shares``: ``(source, target_share, reachable_share, tokens, documents, most_uses, actual_share, due, deviation)`` per
+    source, deviation being the tokens above those that are due; ``block``: tokens within which every source stays of its
+    share wherever the plan is cut between slots."""
 
     plan: DataFrame
     shares: DataFrame
+    block: int
 
 
 def mix(
@@ -75,7 +82,7 @@ def mix(
     the others in proportion. By default the mixture is as large as the shares allow, that is, until the scarcest source
     is used up at its cap. A larger ``total`` uses scarce sources up to their caps and reports what was reached. Null and
     empty texts, documents whose source is null or has no target, and sources with a null or non-positive share or cap are
-    left out; a document that would pass its source's amount comes in if half of it fits; repeated rows count as documents of their own; a null key is kept; other columns are not read; empty tables
+    left out; repeated rows count as documents of their own; a null key is kept; other columns are not read; empty tables
     give an empty plan.
     """
     spark = df.sparkSession
@@ -86,7 +93,9 @@ def mix(
     named = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
     listed = F.broadcast(spark.createDataFrame([(s,) for s in share], "source string"))  # at most MAX_SOURCES rows
     sized = scratch.keep(token_counts(named.join(listed, "source", "left_semi"), keep=("key", "source"), vocabulary=vocabulary).where("tokens > 0"), "sizes")
-    supply = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}  # one row per target
+    facts_of = sized.groupBy("source").agg(F.sum("tokens"), F.count("*"), F.max("tokens")).collect()  # one row per target
+    supply = {r[0]: (r[1], r[2]) for r in facts_of}
+    longest = max((r[3] for r in facts_of), default=0)
     have = {s: w for s, w in share.items() if s in supply}
     weight = {s: w / sum(have.values()) for s, w in have.items()}
     largest = min((supply[s][0] * cap[s] / w for s, w in weight.items()), default=0)
@@ -95,8 +104,8 @@ def mix(
     if total and total > largest:
         take = _fill(weight, {s: supply[s][0] * cap[s] for s in weight}, total)
     actual = sum(take.values())
-    block = max(least_block, -(-actual // MAX_SLOTS), 1)
-    blocks = {s: -(-t // block) for s, t in take.items() if t}
+    width = max(-(-least_block // 2), longest, -(-actual // MAX_SLOTS), 1)  # of a slot; the block is two
+    blocks = {s: -(-t // width) for s, t in take.items() if t}
     order = schedule({s: take[s] for s in blocks}, sum(blocks.values()), blocks) if actual else []
     place = spark.createDataFrame([(s, k, t) for t, s, k in order], "source string, block bigint, slot bigint")
 
@@ -111,21 +120,30 @@ def mix(
     before = sums.withColumn("before", F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("own")
     within = Window.partitionBy("source", "range").orderBy("mark", "key", "tokens")
     at = placed.join(before, ["source", "range"]).withColumn("at", F.col("before") + F.sum("tokens").over(within) - F.col("tokens"))
-    uses = F.ceil((F.col("take") - F.col("at") - F.col("tokens") / 2) / F.col("supply")).cast("int")  # the last one if half of it fits
-    used = at.where(uses > 0).select("source", "key", "tokens", "at", "supply", F.posexplode(F.sequence(F.lit(1), uses)).alias("use0", "use"))
-    used = used.select("source", "key", "use", "tokens", (F.col("at") + F.col("use0") * F.col("supply")).alias("start"))
-    placed = used.withColumn("block", F.floor(F.col("start") / block)).join(F.broadcast(place), ["source", "block"], "left")
+    at = scratch.keep(at.select("source", "key", "tokens", "at", "take", "supply", (F.col("take") % F.col("supply")).alias("rest")), "at")
+    fits = F.col("at") + F.col("tokens") <= F.col("rest")  # in the last, partial pass
+    reach = at.groupBy("source").agg(F.max(F.when(fits, F.col("at") + F.col("tokens")).otherwise(0)).alias("reach"))  # one row per target
+    spare = at.join(F.broadcast(reach), "source").where(~fits & (F.col("tokens") <= F.col("rest") - F.col("reach")))
+    extra = spare.groupBy("source").agg(F.max(F.struct("tokens", "at", "reach")).alias("x")).select("source", F.col("x.at").alias("at"), F.col("x.reach").alias("reach"))
+    marked = at.join(F.broadcast(extra), ["source", "at"], "left")
+    whole = F.floor(F.col("take") / F.col("supply")).cast("int")
+    uses = whole + F.when(fits | F.col("reach").isNotNull(), 1).otherwise(0)
+    used = marked.where(uses > 0).select("*", whole.alias("whole"), F.posexplode(F.sequence(F.lit(1), uses)).alias("use0", "use"))
+    last = (F.col("use0") == F.col("whole")) & F.col("reach").isNotNull()
+    used = used.select("source", "key", "use", "tokens", (F.when(last, F.col("reach")).otherwise(F.col("at")) + F.col("use0") * F.col("supply")).alias("start"))
+    placed = used.withColumn("block", F.floor((F.col("start") + F.col("tokens") / 2) / width)).join(F.broadcast(place), ["source", "block"], "left")
     slot = F.when(F.col("slot").isNull(), F.raise_error(F.lit("a use has no slot"))).otherwise(F.col("slot"))  # no use may get lost
     plan = placed.select(slot.cast("bigint").alias("slot"), "source", F.col("key").alias(key), "use", "tokens", "start")
     plan = scratch.keep(plan, "plan")
     got = plan.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("use").alias("most_uses"))
     every = got.agg(F.sum("tokens").alias("every"))
-    aims = F.broadcast(spark.createDataFrame([(s, share[s], weight.get(s, 0.0)) for s in share], "source string, target_share double, reachable_share double"))
+    aims = F.broadcast(spark.createDataFrame([(s, share[s], weight.get(s, 0.0), take.get(s, 0)) for s in share], "source string, target_share double, reachable_share double, due bigint"))
     shares = aims.join(got, "source", "left").join(F.broadcast(every), F.lit(True), "left").select(
         "source", "target_share", "reachable_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("tokens") / F.col("every"), F.lit(0.0)).alias("actual_share"),
+        "due", (F.coalesce("tokens", F.lit(0)) - F.col("due")).alias("deviation"),
     )
-    return Mixture(plan, shares)
+    return Mixture(plan, shares, 2 * width)
 
 
 def _fill(weight: dict[str, float], most: dict[str, int], total: int) -> dict[str, int]:

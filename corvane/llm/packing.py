@@ -4,7 +4,8 @@ Items are packed in chunks as they stream by, in the same pass that counts their
 a chunk. Within a chunk every item first goes into the fullest container that has room, largest items first. Then the
 search takes the emptiest container and tries to empty it: an item moves into a container with room, or changes places
 with a smaller item, or with two smaller ones, of a fuller container. Every exchange raises the sum of squared fills, so
-the search ends; a container that gets empty is saved.
+the search ends; a container that gets empty is saved. It goes on until as many containers are left as the sizes need at
+least, or as many containers in a row resist as ``patience`` says; without it, until no exchange out of any is left.
 """
 
 from __future__ import annotations
@@ -40,29 +41,54 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, patience: int = 40) -> np.ndarray:
-    """Local search over moves, one-for-one and two-for-one exchanges out of the emptiest container.
+class _Pairs:
+    """Sums of two items of one container, for all containers; made anew only after something has moved."""
 
-    ``patience`` is how many containers in a row may resist before the search ends.
+    def __init__(self) -> None:
+        self.of: int | None = None
+
+    def at(self, moves: int, sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first item, second item, sum)."""
+        if self.of != moves:
+            order = np.argsort(where, kind="stable")
+            count = np.bincount(where)
+            behind = np.repeat(np.cumsum(count), count) - np.arange(len(order)) - 1  # items of the container after each one
+            i = np.repeat(np.arange(len(order)), behind)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+            self.i, self.j = order[i], order[j]
+            self.sum = sizes[self.i] + sizes[self.j]
+            self.of = moves
+        return self.i, self.j, self.sum
+
+
+def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, patience: int | None = 40) -> np.ndarray:
+    """Local search over moves, one-for-one and two-for-one exchanges out of the emptiest container that isn't stuck.
+
+    A container is stuck when no exchange is left for any of its items. The search ends after ``patience`` of them in a
+    row; with None it goes on through all, and over again while anything moves.
     """
     where = where.copy()
     n_bins = int(where.max()) + 1 if len(where) else 0
     fill = np.bincount(where, sizes, n_bins).astype("int64")
     least = -(-int(sizes.sum()) // capacity)
     stuck: set[int] = set()
-    while len(stuck) < patience and int((fill > 0).sum()) > least:
-        loose = np.flatnonzero((fill > 0) & (fill < capacity))
-        loose = np.array([b for b in loose.tolist() if b not in stuck], "int64")
-        if not len(loose):
-            break
-        victim = int(loose[np.argmin(fill[loose])])
-        before = int((fill**2).sum())
+    pairs, moves, last_round = _Pairs(), 0, 0
+    while int((fill > 0).sum()) > least and (patience is None or len(stuck) < patience):
+        loose = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)).tolist() if b not in stuck]
+        if not loose:
+            if patience is not None or moves == last_round:
+                break
+            last_round = moves
+            stuck.clear()
+            continue
+        victim = loose[int(np.argmin(fill[loose]))]
+        before = moves
         items = np.flatnonzero(where == victim)
         for x in items[np.argsort(-sizes[items])].tolist():
-            _place(x, victim, sizes, where, fill, capacity)
-        if fill[victim] == 0:
+            moves += _place(x, victim, sizes, where, fill, capacity, pairs, moves)
+        if fill[victim] == 0 and patience is not None:
             stuck.clear()
-        elif int((fill**2).sum()) == before:
+        elif moves == before:
             stuck.add(victim)
     used = np.flatnonzero(fill > 0)
     number = np.full(n_bins, -1, "int64")
@@ -70,7 +96,7 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, patience: int =
     return number[where]
 
 
-def _place(x: int, victim: int, sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
+def _place(x: int, victim: int, sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int, pairs: _Pairs, moves: int) -> bool:
     """Move item x out of its container, alone or against smaller items, where that raises the sum of squared fills."""
     s = int(sizes[x])
     room = capacity - fill
@@ -96,33 +122,21 @@ def _place(x: int, victim: int, sizes: np.ndarray, where: np.ndarray, fill: np.n
         fill[b] += gain[y]
         fill[victim] -= gain[y]
         return True
-    # two for one: from the containers that lack least, two items that together are a little smaller than x
-    open_bins = np.flatnonzero(room > 0)
-    for b in open_bins[np.argsort(room[open_bins])][:64].tolist():
-        own = np.flatnonzero(where == b)
-        own = own[sizes[own] < s]
-        if len(own) < 2:
-            continue
-        own = own[np.argsort(sizes[own])]
-        z = sizes[own]
-        low = s - room[b]  # the two must weigh from low to s - 1
-        last = np.searchsorted(z, s - 1 - z, side="right") - 1
-        i = np.arange(len(own))
-        last = np.minimum(last, len(own) - 1)
-        good = (last > i) & (z + z[np.clip(last, 0, len(own) - 1)] >= low)
-        good[good] &= fill[b] + s - (z + z[np.clip(last, 0, None)])[good] > fill[victim]
-        if good.any():
-            k = int(np.flatnonzero(good)[0])
-            y1, y2 = own[k], own[last[k]]
-            back = int(sizes[y1] + sizes[y2])
-            where[x], where[y1], where[y2] = b, victim, victim
-            fill[b] += s - back
-            fill[victim] += back - s
-            return True
+    # two for one: two items of one container that together are a little smaller than x
+    i, j, both = pairs.at(moves, sizes, where)
+    b = where[i]
+    ok = np.flatnonzero((both < s) & (both >= s - room[b]) & (room[b] >= 0) & (fill[b] + s - both > fill[victim]))
+    if len(ok):
+        k = int(ok[np.argmin(room[b[ok]] - s + both[ok])])
+        back, to_bin = int(both[k]), int(b[k])
+        where[x], where[i[k]], where[j[k]] = to_bin, victim, victim
+        fill[to_bin] += s - back
+        fill[victim] += back - s
+        return True
     return False
 
 
-def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int, patience: int | None = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item, piece, size, container) of each piece; only items larger than the capacity have more than one piece."""
     sizes = np.asarray(sizes, "int64")
     pieces = np.maximum(1, -(-sizes // capacity))
@@ -135,18 +149,19 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
     where[whole] = np.arange(full)
     rest = np.flatnonzero(~whole)
     if len(rest):
-        where[rest] = full + improve(size[rest], best_fit(size[rest], capacity), capacity)
+        where[rest] = full + improve(size[rest], best_fit(size[rest], capacity), capacity, patience)
     return item, piece, size, where
 
 
 def pack_documents(
-    df: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chunk: int = 8192, max_capacities: int = 1000
+    df: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chunk: int = 8192, max_capacities: int = 1000, patience: int | None = 40
 ) -> DataFrame:
     """``(capacity_id, key, piece, first_token, tokens, container)``: every document in containers of every capacity.
 
     A document stays whole unless it is larger than the container; its pieces are then full but for the last one. No
     container holds more than its capacity. Containers are numbered within the task, so the numbers are unique over the
-    result and the same when a task is repeated. ``chunk`` documents are packed together. Null and empty texts have no
+    result and the same when a task is repeated. ``chunk`` documents are packed together, and the search for exchanges is
+    as patient as ``improve`` says. Null and empty texts have no
     tokens and need no container; capacities that are null or not positive are left out; a null key stays null; repeated
     rows are documents of their own; empty tables give no rows; other columns are not read.
     """
@@ -164,7 +179,7 @@ def pack_documents(
         def flush() -> Iterator[pa.RecordBatch]:
             column = pa.concat_arrays(ids)
             for c, capacity in sizes_of:
-                item, piece, size, where = pack(np.array(sizes), capacity)
+                item, piece, size, where = pack(np.array(sizes), capacity, patience)
                 number = (task << 40) + used[c] + where
                 used[c] += int(where.max()) + 1
                 columns = [pa.array([c] * len(item)).cast(pa.int32() if id_kind == "int" else pa.int64()), column.take(pa.array(item)), pa.array(piece.astype("int32")), pa.array(piece * capacity), pa.array(size), pa.array(number)]

@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corvane.llm import packing
 from corvane.llm.mixing import mix, schedule
 from corvane.llm.packing import best_fit, pack, pack_documents
 from corvane.llm.tokens import encoding, token_counts
@@ -98,3 +101,40 @@ def test_no_source_loses_its_uses(spark, small):
     m = mix(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/mix_targets.parquet"))
     shares = {r["source"]: r["tokens"] for r in m.shares.collect() if r["reachable_share"] > 0}
     assert len(shares) == 18 and all(shares.values())
+
+
+def test_every_prefix_of_the_plan_is_within_one_block(spark):
+    rng = random.Random(7)
+    size = {"a": 40, "b": 400, "c": 15}
+    docs = [(f"{s}{k}", s, " ".join(["word"] * (3_000 if rng.random() < 0.05 else rng.randint(1, 300)))) for s in size for k in range(size[s])]
+    df = spark.createDataFrame(docs, "doc_id string, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 5), ("b", 0.5, 1), ("c", 0.2, 20)], "source string, target_share double, max_repeats int")
+    got = mix(df, targets, least_block=512)
+    assert got.block >= 2 * 2_900  # documents longer than the block that was asked for make it longer
+    weight, due = {"a": 0.3, "b": 0.5, "c": 0.2}, {r["source"]: r for r in got.shares.collect()}
+    rows = sorted((r["slot"], r["start"], r["source"], r["tokens"]) for r in got.plan.collect())
+    have, slot = dict.fromkeys(weight, 0), 0
+    for at, _, source, tokens in [*rows, (10**9, 0, "a", 0)]:
+        if at != slot:
+            total = at * got.block / 2 if at < 10**9 else sum(have.values())
+            assert all(abs(have[s] - weight[s] * total) < got.block for s in weight), (slot, have)
+            slot = at
+        have[source] += tokens
+    assert all(abs(r["deviation"]) <= 20 and abs(r["actual_share"] - r["target_share"]) < 0.001 for r in due.values())
+    assert all(r["most_uses"] <= {"a": 5, "b": 1, "c": 20}[s] for s, r in due.items())
+
+
+def test_a_search_without_patience_leaves_no_exchange():
+    rng = np.random.default_rng(3)
+    sizes, capacity = rng.integers(5, 70, 120), 100
+    where = packing.improve(sizes, packing.best_fit(sizes, capacity), capacity, None)
+    fill = np.bincount(where, sizes)
+    assert fill.max() <= capacity
+    if len(fill) > -(-sizes.sum() // capacity):
+        for x in range(len(sizes)):
+            v, s = where[x], sizes[x]
+            for b in range(len(fill)):
+                own = [] if b == v else [int(z) for z in sizes[where == b]]
+                sums = [0] * (b != v) + own + [p + q for k, p in enumerate(own) for q in own[k + 1 :]]
+                for back in sums:
+                    assert not (back < s and fill[b] + s - back <= capacity and fill[b] + s - back > fill[v]), (x, b, back)
