@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from corvane.session import bounded_rows
 
 SECOND = 1_000_000
-LONGEST = 64
 #: Names of months (first letters as far as they tell months apart, without accents), by language.
 MONTHS = {
     1: "jan january januar jänner janvier janv enero ene janeiro januari",
@@ -319,7 +318,6 @@ def normalise_strings(values: pa.Array, tz: np.ndarray, mdy: np.ndarray, low: in
     out, ok = np.zeros(n, "int64"), np.zeros(n, bool)
     text = pc.replace_substring_regex(pc.fill_null(pc.cast(values, pa.string()), ""), r"[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{feff}]+", " ")
     text = pc.utf8_trim(pc.utf8_trim(text, " "), "\"' ")
-    text = pc.if_else(pc.less_equal(pc.utf8_length(text), LONGEST), text, "")
     mask = pc.replace_substring_regex(pc.replace_substring_regex(text, r"\p{L}+", "A"), r"[0-9]", "9").dictionary_encode()
     code = mask.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(code, kind="stable")
@@ -340,17 +338,23 @@ def normalise_timestamps(
     low: str = "1990-01-01T00:00:00+00:00",
     high: str = "2025-07-03T00:00:00+00:00",
     max_sources: int = 100_000,
+    version: bool = False,
 ) -> DataFrame:
     """``(key, field, utc_us)``: one row for each record and field whose string gives a usable instant.
 
+    ``version`` adds ``zones``, the version of the zone database behind the transition tables; they are made on the driver
+    for the years from ``low`` to ``high`` and travel together.
+
     ``sources`` gives ``source, tz, date_order``; it is a dimension table, so its rows are bounded by ``max_sources`` and
     shipped with the transition tables of their zones. Sources that are missing there, and null zones, count as UTC and
-    day-first. Null, empty, over-long (more than 64 characters once trimmed) and unusable strings give no row. Repeated
+    day-first. Null, empty and unusable strings give no row, however long; fractions of a second may have any number of digits. Repeated
     rows give one row; a record delivered with different strings gives a row for each instant. A null key is kept as
     null. Other columns are ignored, whatever their names.
     """
     known = {r["source"]: (r["tz"] or "", r["date_order"] == "MDY") for r in bounded_rows(sources.select("source", "tz", "date_order"), max_sources, "sources")}
-    tables = {tz: transitions(tz or None) for tz, _ in known.values()}
+    years = [datetime.fromisoformat(x).year for x in (low, high)]
+    tables = {tz: transitions(tz or None, min(1985, years[0] - 2), max(2040, years[1] + 2)) for tz in {"", *(tz for tz, _ in known.values())}}
+    zones = zone_version()
     lo, hi = (int(datetime.fromisoformat(x).timestamp()) * SECOND for x in (low, high))
     kind = df.schema[key].dataType
     schema = f"{key} {kind.simpleString()}, field string, utc_us bigint"
@@ -359,6 +363,7 @@ def normalise_timestamps(
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corvane.operators import timestamps
 
+        timestamps._SHIPPED.clear()
         timestamps._SHIPPED.update(tables)  # the driver's, whatever zone database this machine has
         for b in batches:
             src = b.column(1).dictionary_encode()
@@ -371,4 +376,4 @@ def normalise_timestamps(
                 rows = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([name] * len(rows), pa.string()), pa.array(us[ok])], names=[key, "field", "utc_us"])
 
-    return df.select(key, "source", *[F.col(c).cast("string") for c in names]).mapInArrow(convert, schema).distinct()
+    return df.select(key, "source", *[F.col(c).cast("string") for c in names]).mapInArrow(convert, schema).distinct().select("*", *([F.lit(zones).alias("zones")] if version else []))

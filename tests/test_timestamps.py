@@ -84,3 +84,11 @@ def test_table_with_nulls_repeats_and_clashing_names(spark, rows):
     midnight = 1704067200 * 1_000_000
     assert rows(normalise_timestamps(feed, sources)) == sorted([(1, "published_at", midnight - 3600 * 1_000_000), (None, "published_at", midnight)], key=str)
     assert normalise_timestamps(feed.limit(0), sources.limit(0)).count() == 0
+
+
+def test_strings_of_any_length_and_the_version_of_the_zones(spark):
+    rows = [(1, "2021-03-04T05:06:07." + "1" * 200 + "Z"), (2, "2021-03-04" + " " * 300), (3, "2021-03-04 or " + "x" * 500)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "item_id bigint, source string, published_at string")
+    sources = spark.createDataFrame([("s", None, "DMY")], "source string, tz string, date_order string")
+    got = {r["item_id"]: (r["utc_us"], r["zones"]) for r in normalise_timestamps(df, sources, ("published_at",), version=True).collect()}
+    assert set(got) == {1, 2} and got[1][0] == 1614834367111111 and all(z for _, z in got.values())
