@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
-from corvane.session import at_most, bounded_rows, least_hashed
+from corvane.session import Scratch, at_most, bounded_rows, broadcast_if_small, least_hashed
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -25,24 +25,33 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
 
 
 # --- lexical ---------------------------------------------------------------------------------------------------------
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, few: int = 5_000) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document that shares a word with a query.
 
-    ``queries`` gives ``query_id, query``. Only words of the queries leave the documents: the scan of the texts is followed
-    by a filter on those words, so the shuffle carries (document, word, count) rows of query words alone. idf is
-    ln(1 + (N - df + 0.5) / (df + 0.5)); a word that a query repeats counts as often as it stands there.
+    ``queries`` gives ``query_id, query``. The texts are read and cut into words once: each document keeps its length and
+    those of its words that a query asks for, which is written to scratch and serves totals, document frequencies and
+    postings alike. Up to ``few`` different words are looked up inside the array; more of them meet the words in a join.
+    idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a word that a query repeats counts as often as it stands there.
     """
     terms = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    few = F.broadcast if at_most(terms, 100_000) else lambda df: df  # the weights have no more rows than the terms
-    listed = few(terms.select("term").distinct())
-    sized = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    scratch = Scratch(docs.sparkSession, "bm25")
+    terms = scratch.keep(terms, "terms")
+    named = [r[0] for r in terms.select("term").distinct().limit(few + 1).collect()]
+    cut = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w"))
+    if len(named) <= few:
+        sized = scratch.keep(cut.select("doc_id", F.filter("w", lambda x: x.isin(named)).alias("w"), F.size("w").alias("dl")), "words")
+        found = sized.select("doc_id", "dl", F.explode("w").alias("term"))
+    else:
+        sized = cut.withColumn("dl", F.size("w"))
+        listed = broadcast_if_small(terms.select("term").distinct(), 100_000)
+        found = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(listed, "term", "left_semi")
+    postings = scratch.keep(found.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     totals = sized.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
-    postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(listed, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(df_, "term").withColumn("t", totals).select("*", "t.n", "t.avgdl")
+    weights = terms.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("t", totals).select("*", "t.n", "t.avgdl")
     weights = weights.select("query_id", "term", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    weights = F.broadcast(weights) if at_most(terms, 100_000) else weights  # no more rows than the terms
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(few(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 # --- dense -----------------------------------------------------------------------------------------------------------
@@ -54,8 +63,8 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, block: int = 512, max_queries: int = 1_000_000) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: exact cosine search of a stated query set against all rows.
 
-    ``queries`` gives ``query_id, embedding``. The queries are taken in blocks of ``block`` vectors, each block one matrix
-    product per Arrow batch; every batch passes on only its k best rows per query. ``where`` filters documents before
+    ``queries`` gives ``query_id, embedding``, at most ``max_queries``. The vectors are read once; each Arrow batch meets the
+    queries in blocks of ``block`` vectors, one matrix product each, and passes on only its k best rows per query. ``where`` filters documents before
     they are scored. Null vectors and vectors without length have no cosine and are left out.
     """
     rows = docs.where(where) if where is not None else docs
@@ -63,36 +72,28 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
     wanted = [(r[0], np.asarray(r[1], "float64")) for r in bounded_rows(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"), max_queries, "queries")]
     q_kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_kind}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
-    for at in range(0, max(1, len(wanted)), block):
-        part = wanted[at : at + block]
-        ids = np.array([i for i, _ in part], object)
-        matrix = np.array([v for _, v in part]) if part else np.zeros((0, 1))
-        norms = np.linalg.norm(matrix, axis=1)
-        matrix, ids = matrix[norms > 0] / norms[norms > 0, None], ids[norms > 0]
-        shared = docs.sparkSession.sparkContext.broadcast((ids, matrix))  # at most ``block`` vectors
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, m = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
-                x = flat.reshape(b.num_rows, -1)
-                n = np.linalg.norm(x, axis=1)
-                keep = np.flatnonzero(n > 0)
-                if not len(keep):
-                    continue
-                s = (x[keep] @ m.T) / n[keep, None]
-                top = min(k, len(keep))
+    wanted = [(i, v / np.linalg.norm(v)) for i, v in wanted if np.linalg.norm(v) > 0]
+    blocks = [(pa.array([i for i, _ in wanted[at : at + block]]).cast(_arrow(q_kind)), np.array([v for _, v in wanted[at : at + block]])) for at in range(0, len(wanted), block)]
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)  # at most ``max_queries`` vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(b.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            keep = np.flatnonzero(n > 0)
+            if not len(keep):
+                continue
+            x, names, top = x[keep] / n[keep, None], b.column(0).take(pa.array(keep)), min(k, len(keep))
+            for ids, m in shared.value:
+                s = x @ m.T
                 # all rows that tie with the k-th best stay, the id decides between them later
                 level = np.partition(s, len(keep) - top, axis=0)[len(keep) - top]
                 r, c = np.nonzero(s >= level[None, :] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[c].tolist()).cast(_arrow(q_kind)), b.column(0).take(pa.array(keep[r])), pa.array(s[r, c])], names=["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c)), names.take(pa.array(r)), pa.array(s[r, c])], names=["query_id", "doc_id", "score"])
 
-        got = rows.mapInArrow(run, schema)
-        out = got if out is None else out.union(got)
-    return top_k(out, k)
+    return top_k(rows.mapInArrow(run, schema), k)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -182,28 +183,25 @@ def reciprocal_rank_fusion(legs: list[DataFrame], k: int, k0: int = 60) -> DataF
     return top_k(union.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (k0 + F.col("rank"))).alias("score")), k)
 
 
-#: What each profile of sources can be filtered by; other parameters are ignored for it.
+#: What each profile of sources can be filtered by; other parameters are ignored for it.
 PROFILES: dict[str, tuple[str, ...]] = {
-    "news": ("published", "language", "outlet"), "arxiv": ("published", "primary_category"), "github": ("min_stars", "language"),
-    "hn": ("published", "min_points"), "docs": ("framework",), "hf": ("root", "kind"), "memory": ("conversation_id",), "wiki": (), "smallweb": ("published",),
+    "news": ("published",), "repos": ("min_stars", "language"), "wiki": ("published",), "arxiv": ("primary_category", "published"), "smallweb": ("outlet", "published"),
+    "docs": ("framework",), "hn": ("min_points", "published"), "hf": ("root", "kind", "published"), "memory": ("conversation_id", "published"), "custom": ("published",),
 }
-_EQUAL = ("language", "primary_category", "outlet", "framework", "root", "kind", "conversation_id")
 
 
 def payload_filter(profile: str, **params) -> Column:
-    """Conjunction of the filters that the profile knows; a document without the field fails its condition. Dates are inclusive."""
+    """Conjunction of the filters that the profile knows; a document without the field fails its condition. Dates are
+    inclusive; empty strings and zeros ask for nothing. A source with a profile of its own name filters like a custom one."""
     out = F.lit(True)
-    for name in PROFILES.get(profile, ()):
+    for name in PROFILES.get(profile, PROFILES["custom"]):
         if name == "published":
             if params.get("published_from") is not None:
                 out = out & (F.col("published_at") >= F.lit(params["published_from"]).cast("timestamp"))
             if params.get("published_to") is not None:
                 out = out & (F.col("published_at") <= F.lit(params["published_to"]).cast("timestamp"))
-        elif name in _EQUAL:
-            if params.get(name) is not None:
-                out = out & (F.col(name) == params[name])
         elif params.get(name):
-            out = out & (F.col(name.removeprefix("min_")) >= params[name])
+            out = out & (F.col(name.removeprefix("min_")) >= params[name] if name.startswith("min_") else F.col(name) == params[name])
     return out
 
 

@@ -151,6 +151,23 @@ QUERIES = {f.__name__: f for f in (
     rank_metrics, mean_metrics, known_item, seeded_sample, stratified_sample, hard_negatives, guardrail,
 )}
 
+#: Parameters that every profile is asked with; each uses those it knows.
+ASKED_FOR = {"published_from": "2021-01-01", "published_to": "2023-12-31 00:00:00", "language": "en", "min_stars": 300, "min_points": 250, "outlet": "smallweb_fernlog",
+    "framework": "docs_quarry", "root": "hf_cards", "kind": "hf", "conversation_id": "memory_notes", "primary_category": "arxiv_mirror"}
+
+
+def profile_filter(spark: SparkSession, d: str, profile: str) -> DataFrame:
+    """Documents that a search of a profile is restricted to; the fields of the payload are made of the document's own."""
+    source = F.col("source")
+    docs = read(spark, d, "documents").select(
+        "doc_id", "published_at", F.col("lang").alias("language"), (F.col("doc_id") % 1000).alias("stars"), (F.col("n_chars") % 500).alias("points"),
+        *[source.alias(c) for c in ("outlet", "framework", "root", "conversation_id", "primary_category")], F.split_part(source, F.lit("_"), F.lit(1)).alias("kind"),
+    )
+    return docs.where(search.payload_filter(profile, **ASKED_FOR)).select("doc_id")
+
+
+QUERIES |= {f"filter_{name}": partial(profile_filter, profile=name) for name in (*search.PROFILES, "unnamed")}
+
 STATED = ("bm25_scores", "bm25_filtered", "hybrid_rrf", "fan_out", "rerank_overlap")
 QUERIES |= {"bm25_topk_stated": partial(flagship_bm25_topk, ask=_stated)} | {f"{name}_stated": partial(QUERIES[name], ask=_stated) for name in STATED}
 
@@ -224,3 +241,10 @@ def _stated_sql(sql: str) -> str:
 
 
 SQL |= {"bm25_topk_stated": _stated_sql(SQL["flagship_bm25_topk"])} | {f"{name}_stated": _stated_sql(SQL[name]) for name in STATED}
+
+_DATED = "published_at BETWEEN TIMESTAMPTZ '2021-01-01 00:00:00+00' AND TIMESTAMPTZ '2023-12-31 00:00:00+00'"
+_FILTERS = {
+    "news": _DATED, "repos": "doc_id % 1000 >= 300 AND lang = 'en'", "wiki": _DATED, "arxiv": f"source = 'arxiv_mirror' AND {_DATED}", "smallweb": f"source = 'smallweb_fernlog' AND {_DATED}",
+    "docs": "source = 'docs_quarry'", "hn": f"n_chars % 500 >= 250 AND {_DATED}", "hf": f"source = 'hf_cards' AND {_DATED}", "memory": f"source = 'memory_notes' AND {_DATED}", "custom": _DATED, "unnamed": _DATED,
+}
+SQL |= {f"filter_{name}": f"SELECT doc_id FROM documents WHERE {where}" for name, where in _FILTERS.items()}

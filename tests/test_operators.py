@@ -136,7 +136,7 @@ def test_fusion_filters_and_rerank(spark, rows):
     legs = [spark.createDataFrame(x, "query_id int, doc_id int, rank int") for x in ([(1, 1, 1), (1, 2, 2)], [(1, 2, 1), (1, 3, 2)])]
     assert [r["doc_id"] for r in search.reciprocal_rank_fusion(legs, 3).orderBy("rank").collect()] == [2, 1, 3]
     df = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "id int, stars int")
-    assert rows(df.where(search.payload_filter("github", min_stars=10, outlet="ignored")).select("id")) == [(3,)]
+    assert rows(df.where(search.payload_filter("repos", min_stars=10, outlet="ignored")).select("id")) == [(3,)]
 
 
 def test_metrics(spark):
