@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import operations as ops
 from corvane.plans import flows, spec
-from corvane.session import read, shared_dir
+from corvane.session import Scratch, read, remove
 from corvane.sources import catalog, extract
 from corvane.streaming import streams
 
@@ -160,11 +158,13 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    checkpoint = f"{shared_dir(spark)}/{name}"
-    streams.run_to_end(stream, checkpoint, mode=mode, name=name)
-    shutil.rmtree(checkpoint.removeprefix("file://"), ignore_errors=True)
-    return spark.table(name)
+    """The result of a stream as a written table; nothing of it passes through the driver."""
+    scratch = Scratch(spark, "stream")
+    checkpoint, out = scratch.path("checkpoint"), scratch.path("out")
+    whole = (lambda df, _: df.write.mode("overwrite").parquet(out)) if mode == "complete" else None
+    streams.run_to_end(stream, checkpoint, to=out, mode=mode, batch=whole)
+    remove(spark, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:

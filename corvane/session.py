@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir() or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -58,6 +60,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever storage the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables written to shared storage to cut lineage: they survive the loss of an executor, unlike cached blocks.
 
@@ -80,12 +88,10 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the tables behind frames returned by ``keep``, or the whole folder when none is given."""
-        jvm = self.spark._jvm
         paths = {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()} if frames else {self.base}
         for p in paths:
             if p.startswith(self.base) or self.base.split("://")[-1] in p:
-                at = jvm.org.apache.hadoop.fs.Path(p)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                remove(self.spark, p)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvane.operators.ledger import VersionedTable, merge_ledger
+from corvane.session import exists
 
 
 def journal_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
@@ -61,17 +62,22 @@ def ledger_batches(table: VersionedTable, empty: DataFrame, now: Callable[[int],
     return merge
 
 
-def trigger_batches(event: str, source: str | None, fire: Callable[[int], None], cursor: int = 0) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that fires once a batch for the first matching event after its cursor."""
+def trigger_batches(spark: SparkSession, path: str, event: str, source: str | None, fire: Callable[[int], None], cursor: int = 0) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that fires once a batch for the first matching event after its cursor.
+
+    The cursor lies in ``path``, one folder for each batch that fired, so that a restart goes on where it stood and a batch
+    that comes again doesn't fire again once its cursor is written.
+    """
     from corvane.operators.planning import match_trigger
 
-    state = {"cursor": cursor}
+    def stand() -> int:
+        return max(cursor, spark.read.parquet(path).agg(F.max("seq")).first()[0] or 0) if exists(spark, path) else cursor
 
     def look(batch: DataFrame, number: int) -> None:
-        hit = match_trigger(batch, state["cursor"], event, source).collect()  # at most one row
+        hit = match_trigger(batch, stand(), event, source).collect()  # at most one row
         if hit:
-            state["cursor"] = hit[0]["seq"]
             fire(hit[0]["seq"])
+            spark.createDataFrame([(hit[0]["seq"],)], "seq bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return look
 
@@ -79,24 +85,23 @@ def trigger_batches(event: str, source: str | None, fire: Callable[[int], None],
 def band_batches(store_path: str, day: Column, window_days: int, found: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Rolling near-duplicate detection: each batch meets the bands of the last days, then adds those of its kept documents.
 
-    Batches have ``id, text, ordinal``. The band store is parquet partitioned by day, so pruning it is a partition filter.
+    Batches have ``id, text, ordinal``. The band store is parquet partitioned by day and batch: pruning it is a partition
+    filter, and a batch that comes again overwrites its own part and doesn't meet it.
     """
     from corvane.operators.dedup import band_pairs, greedy_duplicates, signature_bands
 
     def look(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         bands = signature_bands(batch, "id", "text", ("ordinal",))
-        try:
-            store = spark.read.parquet(store_path).where(F.col("day") >= F.date_sub(day, window_days))
+        known = spark.createDataFrame([], "id string, duplicate_of string")
+        if exists(spark, store_path):
+            store = spark.read.parquet(store_path).where((F.col("day") >= F.date_sub(day, window_days)) & (F.col("batch") < number))
             old = store.join(bands.select("band", "value").distinct(), ["band", "value"], "left_semi")
             known = bands.join(old.select("band", "value", F.col("id").alias("old")), ["band", "value"]).where("id <> old").groupBy("id").agg(F.min("old").alias("duplicate_of"))
-        except Exception as e:  # no store yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "id string, duplicate_of string")
         fresh = bands.join(known, "id", "left_anti")
         within = greedy_duplicates(band_pairs(fresh, "id", "ordinal"))
         found(known.unionByName(within), number)
-        fresh.join(within, "id", "left_anti").select("id", "band", "value", day.alias("day")).write.mode("append").partitionBy("day").parquet(store_path)
+        kept = fresh.join(within, "id", "left_anti").select("id", "band", "value", day.alias("day"), F.lit(number).alias("batch"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(store_path)
 
     return look
