@@ -109,7 +109,7 @@ def upsert_units(prior: DataFrame, incoming: DataFrame, mode: str = "merge", key
 
     merge: the token replaces the old one, a null stage keeps the old one, attributes are united and the new win.
     increment: ``delta`` (numbers by name) is summed over all assertions and added to the attributes, then ``attrs`` is laid
-    over. skip: only units that aren't there yet come in. Every unit that an assertion touches is pending again. Several
+    over; an attribute that is no number is an error. skip: only units that aren't there yet come in. Every unit that an assertion touches is pending again. Several
     assertions of a unit count in the order of ``ordinal``: later attributes win.
     """
     if mode not in ("merge", "increment", "skip"):
@@ -130,7 +130,9 @@ def upsert_units(prior: DataFrame, incoming: DataFrame, mode: str = "merge", key
     touched = F.col("_new").isNotNull() & (F.col("_old").isNull() if mode == "skip" else F.lit(True))
     base = F.col("o_attrs")
     if mode == "increment":
-        number = lambda name: F.coalesce(F.try_element_at(F.col("o_attrs"), name).try_cast("double"), F.lit(0.0))
+        old_value = lambda name: F.try_element_at(F.col("o_attrs"), name)
+        wrong = lambda name: F.raise_error(F.concat(F.lit("increment of an attribute that is no number: "), name)).cast("double")
+        number = lambda name: F.when(old_value(name).isNull(), 0.0).otherwise(F.coalesce(old_value(name).try_cast("double"), wrong(name)))
         added = F.transform_values(F.coalesce("_delta", F.create_map().cast("map<string,double>")), lambda k, v: (number(k) + v).cast("string"))
         base = _over(base, added)
     return rows.select(

@@ -131,10 +131,43 @@ def test_streams(spark, tmp_path, rows):
     assert rows(spark.table("hourly").groupBy().sum("events")) == [(12,)]
     fired = []
     ev = stream().select("seq", F.lit("done").alias("event"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("origin"))
-    streams.run_to_end(ev, f"{tmp_path}/c2", batch=streams.trigger_batches("done", "s", fired.append, 5))
-    assert all(s > 5 for s in fired) and fired == sorted(fired)
+    streams.run_to_end(ev, f"{tmp_path}/c2", batch=streams.trigger_batches(spark, f"{tmp_path}/cursor", "done", "s", fired.append, 5))
+    assert all(s > 5 for s in fired) and fired == sorted(fired) and fired
+    before = list(fired)
+    streams.run_to_end(ev, f"{tmp_path}/c2b", batch=streams.trigger_batches(spark, f"{tmp_path}/cursor", "done", "s", fired.append, 5))
+    assert all(s > max(before) for s in fired[len(before) :])  # a restart goes on where it stood
     table = VersionedTable(spark, f"file://{tmp_path}/ledger")
     empty = spark.createDataFrame([], "id string, url string, title string, text_hash string, metadata_hash string, status string, created_at timestamp, updated_at timestamp, embedded_model string, indexed_at timestamp")
     docs = stream().select(F.col("user").cast("string").alias("id"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit("h").alias("text_hash"), F.lit("m").alias("metadata_hash"), F.lit("staged").alias("status")).dropDuplicates(["id"])
     streams.run_to_end(docs, f"{tmp_path}/c3", batch=streams.ledger_batches(table, empty, lambda n: F.lit("2024-01-01").cast("timestamp")))
     assert rows(table.read().select("id")) == [("0",), ("1",)]
+
+
+def test_rolling_bands_of_a_stream(spark, tmp_path, rows):
+    text = " ".join(f"word{k}" for k in range(40))
+    batch = lambda pairs: spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(pairs)], "id string, text string, ordinal int")
+    seen = {}
+    look = streams.band_batches(f"{tmp_path}/bands", F.lit("2024-01-02").cast("date"), 7, lambda found, number: seen.__setitem__(number, rows(found)))
+    look(batch([("a", text), ("b", "quite other words that share nothing at all with it"), ("c", text + " more")]), 0)
+    look(batch([("d", text), ("e", "short")]), 1)
+    look(batch([("d", text), ("e", "short")]), 1)  # comes again
+    assert seen == {0: [("c", "a")], 1: [("d", "a")]}
+    later = streams.band_batches(f"{tmp_path}/bands", F.lit("2024-01-20").cast("date"), 7, lambda found, number: seen.__setitem__(number, rows(found)))
+    later(batch([("f", text)]), 2)
+    assert seen[2] == []
+
+
+def test_modules_of_quality_language_and_boilerplate(spark):
+    good = "\n".join((
+        "The council of the town met in the hall and said that the bridge would be closed until spring.", "Farmers along the river have to move their sheep before the water rises again.",
+        "Nobody asked who pays for it, though a teacher with two children raised her hand.", "Later that evening, music came from an open window near the station.",
+        "Engineers measured cracks under every arch, took photographs and wrote a long report.", "By Friday morning, most of those present had signed the letter to the minister.",
+    ))
+    docs = [(1, good, "en"), (2, good.upper(), "en"), (3, good.replace(" ", "  "), "fr"), (4, "{ " + good, None), (5, "word " * 400, None), (6, good + "\nok", "")]
+    df = spark.createDataFrame(docs, "ordinal int, text string, lang string")
+    m = flows.standard_modules({}, detector=lambda d: d.select("ordinal", F.when(F.col("ordinal") == 4, "nl").alias("detected")))
+    run = lambda name, **s: {r["ordinal"]: r["text"] for r in m[name].run(df, s).collect()}
+    assert set(run("dedup.boilerplate", repeat_cap=2)) == {1, 2, 4, 5, 6}
+    assert set(run("filter.lang", allowed="en, nl")) == {1, 2, 4, 5, 6}
+    kept = run("filter.quality")
+    assert 1 in kept and 6 in kept and kept[6] == good and not {4, 5} & set(kept)
