@@ -4,8 +4,9 @@ Lines of a page are the nodes of a graph. A linear classifier over each line and
 boilerplate and the cost of calling it content; these are the capacities to the two terminals. Lines that stand next to
 each other, or one apart, are joined by smoothness edges, stronger where they look alike or where a title stands over a
 paragraph. The minimum cut of that graph is the labelling with the least total cost. Two statistics come from the whole
-collection: how many different pages hold a line (by its letters), and how often the line after it looks like a title,
-which marks the headings of teaser boxes.
+collection, each within its site: how many different pages, and what share of the site's, hold a line (by its letters), and
+how often the line after it looks like a title, which marks the headings of teaser boxes. A repeated line has a high cost
+as content; the cut decides.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.sitelines import letters_of
 from corvane.llm.words import FUNCTION_OF, WORD
-from corvane.session import Scratch, at_most, broadcast_if_small
+from corvane.session import WHITE, Scratch, at_most, broadcast_if_small
 
 CLOSERS = "\"'”’»)]"
 SENTENCE_END = re.compile(r"[.!?][\"'”’»)\]]*(?:\s|$)")
 BULLET = re.compile(r"^\s*(?:[-*•–»]|\d{1,3}[.)])\s+")
 ITEMS = re.compile(r"\s*[·|›»/•]\s*|\s{2,}|\s[-–—>]\s")
 PRICE = re.compile(r"(?:^|\s)[€$£]?\d+[.,]\d\d\s*(?:[€$£]|EUR|USD|GBP)?\s*$")
-WINDOW = 28
 OPENING = 12
 NO_LETTER = re.compile(r"[\W\d_]+")
 CELL = re.compile(r"\s*\|\s*|\t+")
@@ -62,6 +62,7 @@ class Weights:
     past_wall: float = 0.3
     box_share: float = 0.6
     pages: int = 3
+    share: float = 0.001
 
 
 def cut_labels(content: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -200,7 +201,7 @@ def letters(line: str) -> str:
     return joined if not joined or joined.isalpha() else "".join(ch for ch in joined if ch.isalpha())
 
 
-def covered(tokens: list[str], known: Callable[[list[int]], list[bool]], hashes: Callable[[int, int], int], longest: int = WINDOW) -> bool:
+def covered(tokens: list[str], known: Callable[[list[int]], list[bool]], hashes: Callable[[int, int], int], longest: int) -> bool:
     """Whether a line is nothing but repeated lines put one after the other, as footers often are (longest match first)."""
     at = 0
     while at < len(tokens):
@@ -267,52 +268,59 @@ def label_page(text: str, often_at: set[int], heads: set[int], w: Weights) -> li
         if i + 2 < len(nodes):
             edges.append((i, i + 2, w.apart * (w.past_wall if min(cost[i], cost[i + 1], cost[i + 2]) <= w.wall else 1)))
     inside = cut_labels(cost, edges)
-    return [nodes[int(i)] + 1 for i in np.flatnonzero(inside & ~np.array(often))]
+    return [nodes[int(i)] + 1 for i in np.flatnonzero(inside)]
 
 
 def tokens_of(line: Column) -> Column:
     """Letters of the white-space separated tokens that have any."""
-    return F.filter(F.transform(F.split(line, r"[\s\x{a0}]+"), letters_of), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(line, WHITE), letters_of), lambda x: F.length(x) > 0)
 
 
-def _lines(df: DataFrame, text: str) -> DataFrame:
-    """``(page, node, opening, size, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
+def _lines(df: DataFrame, text: str, site: Column) -> DataFrame:
+    """``(site, page, node, opening, size, words, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.struct(letters_of(line).alias("letters"), F.trim(line).alias("line")))
-    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64(x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), F.least(F.length(x["letters"]), F.lit(OPENING)).alias("size"), x["line"].alias("line")))
-    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("page"), lines.alias("x")).select("page", F.posexplode("x").alias("at", "l"), "x")
+    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64("site", x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), F.least(F.length(x["letters"]), F.lit(OPENING)).alias("size"), F.size(F.split(x["line"], WHITE)).alias("words"), x["line"].alias("line")))
+    rows = df.where(F.col(text).isNotNull()).select(site.alias("site"), text).select("site", F.xxhash64(text).alias("page"), lines.alias("x")).select("site", "page", F.posexplode("x").alias("at", "l"), "x")
     after = F.get("x", F.col("at") + 1)
     line = after["line"]
     titled = (~line.rlike(TITLE_SQL) | line.rlike("…")) & F.size(F.split(line, r"\s+")).between(4, 22) & ~line.rlike("[·|›]")
-    return rows.select("page", F.col("l.node").alias("node"), F.col("l.opening").alias("opening"), F.col("l.size").alias("size"), after["node"].alias("after"), titled.alias("titled"))
+    return rows.select("site", "page", F.col("l.node").alias("node"), F.col("l.opening").alias("opening"), F.col("l.size").alias("size"), F.col("l.words").alias("words"), after["node"].alias("after"), titled.alias("titled"))
 
 
-def line_statistics(df: DataFrame, text: str, w: Weights, scratch: Scratch, small: int) -> DataFrame:
-    """``(node, opening, size, head)`` of the lines that enough different texts hold; head marks those that titles usually follow.
+def line_statistics(df: DataFrame, text: str, site: Column, w: Weights, scratch: Scratch, small: int) -> DataFrame:
+    """``(node, opening, size, words, head)`` of the lines that enough different texts of a site hold, by number and by share
+    of the site's texts; head marks those that titles usually follow.
 
     Equal pages count once; lines after which another repeated line comes say nothing about heads. All counts are
     combined before they are shuffled.
     """
-    rows = scratch.keep(_lines(df, text), "all")
-    often = scratch.keep(rows.groupBy("node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening"), F.min("size").alias("size")).where(F.col("pages") >= w.pages).select("node", "opening", "size"), "often")
+    rows = scratch.keep(_lines(df, text, site), "all")
+    sizes = df.where(F.col(text).isNotNull()).select(site.alias("site"), F.xxhash64(text).alias("page")).groupBy("site").agg(F.count_distinct("page").alias("whole"))
+    counted = rows.groupBy("site", "node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening"), F.min("size").alias("size"), F.max("words").alias("words")).where(F.col("pages") >= w.pages)
+    counted = counted.join(broadcast_if_small(sizes, small), "site").where(F.col("pages") >= w.share * F.col("whole"))
+    often = scratch.keep(counted.select("node", "opening", "size", "words"), "often")
     held = rows.where("after IS NOT NULL").join(broadcast_if_small(often.select("node"), small), "node")
     first = held.join(broadcast_if_small(often.select(F.col("node").alias("after")), small), "after", "left_anti")
     heads = first.groupBy("node").agg(F.avg(F.col("titled").cast("double")).alias("share"), F.count("*").alias("times")).where((F.col("share") >= w.box_share) & (F.col("times") >= w.pages))
-    out = scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", "size", F.coalesce("head", F.lit(False)).alias("head")), "lines")
+    out = scratch.keep(often.join(heads.select("node", F.lit(True).alias("head")), "node", "left").select("node", "opening", "size", "words", F.coalesce("head", F.lit(False)).alias("head")), "lines")
     scratch.drop(rows)
     return out
 
 
-def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weights: Weights | None = None, small: int = 1_000_000) -> DataFrame:
+def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weights: Weights | None = None, small: int = 1_000_000, source: str | None = None) -> DataFrame:
     """``(key, line_no)`` of the lines of each page's main body; line numbers count all lines from 1.
 
     Null and empty texts, and pages without a body, give no rows; a null key stays null; repeated pages each give their
-    rows; an empty table gives none; other columns are not read. The hashes of repeated lines travel to the executors as
+    rows; an empty table gives none; other columns are not read. ``source`` names the column of the site, within which lines
+    are counted; without it all pages are one site, and pages with a null there are one more. The hashes of repeated lines travel to the executors as
     one sorted array while they are at most ``small``; beyond, pages meet them in joins that give the same result.
     """
     w = weights or Weights()
     spark = df.sparkSession
     scratch = Scratch(spark, "maincontent")
-    stats = line_statistics(df, text, w, scratch, small)
+    site = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    stats = line_statistics(df, text, site, w, scratch, small)
+    longest = max(1, stats.agg(F.max("words")).first()[0] or 0)  # of a repeated line, so none that is joined to others is overlooked
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, line_no int"
     pages = df.where(F.col(text).isNotNull())
@@ -329,18 +337,18 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
             known, opens, sizes = dict(zip(nodes.tolist(), head.tolist(), strict=True)), set(opening.tolist()), size.tolist()
             for b in batches:
                 out: list[tuple[int, int]] = []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    often, heads = set(), set()
+                for i, (t, of) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    often, heads, seed = set(), set(), spark_seed(of)
                     for no, line in enumerate(t.split("\n"), 1):
                         joined = letters(line)
                         if len(joined) < 2:
                             continue
-                        is_head = known.get(spark_hash(joined))
+                        is_head = known.get(spark_hash(joined, seed))
                         if is_head is None:
                             if not any(spark_hash(joined[:n]) in opens for n in sizes):
                                 continue  # no repeated line begins like this
                             parts = [p for p in map(letters, line.split()) if p]
-                            if covered(parts, lambda hs: [h in known for h in hs], lambda a, e, p=parts: spark_hash("".join(p[a:e]))):
+                            if covered(parts, lambda hs: [h in known for h in hs], lambda a, e, p=parts, seed=seed: spark_hash("".join(p[a:e]), seed), longest):
                                 often.add(no)
                             continue
                         often.add(no)
@@ -349,19 +357,19 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
                     out += [(i, no) for no in label_page(t, often, heads, w)]
                 yield emit(b.column(0), out)
 
-        return pages.select(key, text).mapInArrow(run, schema)
+        return pages.select(key, text, site.alias("site")).mapInArrow(run, schema)
 
     # every line with the hashes of its prefixes; lines that begin with a repeated line then with those of all their windows
-    seat = pages.select(F.xxhash64(text).alias("seat"), key, text)
-    line = seat.select("seat", F.posexplode(F.split(text, "\n")).alias("at", "line")).distinct()
-    line = line.select("seat", (F.col("at") + 1).alias("no"), letters_of(F.col("line")).alias("whole"), tokens_of(F.col("line")).alias("t")).where(F.length("whole") >= 2)
-    exact = line.select("seat", "no", F.xxhash64("whole").alias("node")).join(stats, "node").select("seat", F.struct("no", F.lit(-1).alias("a"), F.lit(-1).alias("e"), "head").alias("x"))
-    ends = F.sequence(F.lit(1), F.least(F.size("t"), F.lit(WINDOW)))
-    prefixes = line.select("seat", "no", "t", F.explode(ends).alias("e")).select("seat", "no", "t", F.xxhash64(F.array_join(F.slice("t", 1, F.col("e")), "")).alias("node"))
-    begun = prefixes.join(stats.select("node"), "node", "left_semi").select("seat", "no", "t").distinct()
-    starts = begun.select("seat", "no", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("a"))
-    windows = starts.select("seat", "no", "t", "a", F.explode(F.sequence(F.lit(1), F.least(F.size("t") - F.col("a") + 1, F.lit(WINDOW)))).alias("n"))
-    windows = windows.select("seat", "no", (F.col("a") - 1).alias("a"), (F.col("a") - 1 + F.col("n")).alias("e"), F.xxhash64(F.array_join(F.slice("t", F.col("a"), F.col("n")), "")).alias("node"))
+    seat = pages.select(F.xxhash64(site, text).alias("seat"), site.alias("site"), key, text)
+    line = seat.select("seat", "site", F.posexplode(F.split(text, "\n")).alias("at", "line")).distinct()
+    line = line.select("seat", "site", (F.col("at") + 1).alias("no"), letters_of(F.col("line")).alias("whole"), tokens_of(F.col("line")).alias("t")).where(F.length("whole") >= 2)
+    exact = line.select("seat", "no", F.xxhash64("site", "whole").alias("node")).join(stats, "node").select("seat", F.struct("no", F.lit(-1).alias("a"), F.lit(-1).alias("e"), "head").alias("x"))
+    ends = F.sequence(F.lit(1), F.least(F.size("t"), F.lit(longest)))
+    prefixes = line.select("seat", "site", "no", "t", F.explode(ends).alias("e")).select("seat", "site", "no", "t", F.xxhash64("site", F.array_join(F.slice("t", 1, F.col("e")), "")).alias("node"))
+    begun = prefixes.join(stats.select("node"), "node", "left_semi").select("seat", "site", "no", "t").distinct()
+    starts = begun.select("seat", "site", "no", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("a"))
+    windows = starts.select("seat", "site", "no", "t", "a", F.explode(F.sequence(F.lit(1), F.least(F.size("t") - F.col("a") + 1, F.lit(longest)))).alias("n"))
+    windows = windows.select("seat", "no", (F.col("a") - 1).alias("a"), (F.col("a") - 1 + F.col("n")).alias("e"), F.xxhash64("site", F.array_join(F.slice("t", F.col("a"), F.col("n")), "")).alias("node"))
     parts = windows.join(stats.select("node"), "node", "left_semi").select("seat", F.struct("no", "a", "e", F.lit(False).alias("head")).alias("x"))
     held = exact.union(parts).groupBy("seat").agg(F.collect_list("x").alias("held"))  # no longer than the page
 
@@ -378,7 +386,7 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
                         spans.setdefault(x["no"], set()).add((x["a"], x["e"]))
                 for no, have in spans.items():
                     parts_of = [p for p in map(letters, lines[no - 1].split()) if p]
-                    if covered(parts_of, lambda hs: [h in have for h in hs], lambda a, e: (a, e)):
+                    if covered(parts_of, lambda hs: [h in have for h in hs], lambda a, e: (a, e), longest):
                         often.add(no)
                 out += [(i, no) for no in label_page(t, often, heads, w)]
             yield emit(b.column(0), out)
@@ -386,7 +394,12 @@ def main_content(df: DataFrame, key: str = "page_id", text: str = "text", weight
     return seat.join(held, "seat", "left").select(key, text, "held").mapInArrow(run_joined, schema)
 
 
-def spark_hash(text: str) -> int:
-    """The value of Spark's xxhash64 for one string."""
-    h = xxhash.xxh64_intdigest(text.encode(), 42)
+def spark_seed(site: str) -> int:
+    """Seed with which Spark's xxhash64 of (site, text) goes on after the site."""
+    return xxhash.xxh64_intdigest(site.encode(), 42)
+
+
+def spark_hash(text: str, seed: int = 42) -> int:
+    """The value of Spark's xxhash64 for one string, or for one that follows others."""
+    h = xxhash.xxh64_intdigest(text.encode(), seed)
     return h - (1 << 64) if h >> 63 else h

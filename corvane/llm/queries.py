@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_content(read(spark, d, "crawl_pages")).distinct()
+    return main_content(read(spark, d, "crawl_pages"), source="source").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -182,3 +182,15 @@ def test_pages(spark, rows):
     assert rows(main_content(df, small=0)) == got  # the join gives what the shipped array gives
     assert main_content(df.limit(0)).count() == 0
     assert Weights().paragraph > 0
+
+
+def test_lines_are_counted_within_their_site(spark):
+    quote = "The same short quotation of a poet stands in many articles of the world."
+    body = lambda k: "\n".join([f"Headline of the article number {k} on this page", f"The council of town {k} met in the hall, and it was said that the bridge would be closed.", quote, f"It was the {k}th time that they had to vote on this, and nobody was content with it."])
+    notice = "Please accept the cookies of this site before you read on in it."
+    rows = [(k, f"site{k}", body(k)) for k in range(8)] + [(10 + k, "same", notice + "\n" + body(100 + k)) for k in range(8)] + [(99, None, body(99))]
+    df = spark.createDataFrame(rows, "page_id bigint, source string, text string")
+    for small in (1_000_000, 0):
+        got = {(r[0], r[1]) for r in main_content(df, source="source", small=small).collect()}
+        assert all((k, 3) in got for k in (*range(8), 99))
+        assert not any((10 + k, no) in got for k in range(8) for no in (1, 4))  # the notice, and what this one site quotes everywhere
