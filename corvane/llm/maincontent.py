@@ -31,6 +31,8 @@ BULLET = re.compile(r"^\s*(?:[-*•–»]|\d{1,3}[.)])\s+")
 ITEMS = re.compile(r"\s*[·|›»/•]\s*|\s{2,}|\s[-–—>]\s")
 PRICE = re.compile(r"(?:^|\s)[€$£]?\d+[.,]\d\d\s*(?:[€$£]|EUR|USD|GBP)?\s*$")
 OPENING = 12
+#: Every character that WHITE matches; their number bounds that of the words of a line.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 NO_LETTER = re.compile(r"[\W\d_]+")
 CELL = re.compile(r"\s*\|\s*|\t+")
 TITLE_SQL = r"[.!?:;][\"'”’»)\]]*$|[”»)]$"
@@ -279,7 +281,7 @@ def tokens_of(line: Column) -> Column:
 def _lines(df: DataFrame, text: str, site: Column) -> DataFrame:
     """``(site, page, node, opening, size, words, after, titled)`` of the lines with letters; titled: whether the next line looks like a title."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.struct(letters_of(line).alias("letters"), F.trim(line).alias("line")))
-    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64("site", x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), F.least(F.length(x["letters"]), F.lit(OPENING)).alias("size"), F.size(F.split(x["line"], WHITE)).alias("words"), x["line"].alias("line")))
+    lines = F.transform(F.filter(lines, lambda x: F.length(x["letters"]) >= 2), lambda x: F.struct(F.xxhash64("site", x["letters"]).alias("node"), F.xxhash64(F.substring(x["letters"], 1, OPENING)).alias("opening"), F.least(F.length(x["letters"]), F.lit(OPENING)).alias("size"), (F.length(x["line"]) - F.length(F.translate(x["line"], SPACES, "")) + 1).alias("words"), x["line"].alias("line")))
     rows = df.where(F.col(text).isNotNull()).select(site.alias("site"), text).select("site", F.xxhash64(text).alias("page"), lines.alias("x")).select("site", "page", F.posexplode("x").alias("at", "l"), "x")
     after = F.get("x", F.col("at") + 1)
     line = after["line"]
@@ -295,7 +297,7 @@ def line_statistics(df: DataFrame, text: str, site: Column, w: Weights, scratch:
     combined before they are shuffled.
     """
     rows = scratch.keep(_lines(df, text, site), "all")
-    sizes = df.where(F.col(text).isNotNull()).select(site.alias("site"), F.xxhash64(text).alias("page")).groupBy("site").agg(F.count_distinct("page").alias("whole"))
+    sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("whole"))
     counted = rows.groupBy("site", "node").agg(F.count_distinct("page").alias("pages"), F.min("opening").alias("opening"), F.min("size").alias("size"), F.max("words").alias("words")).where(F.col("pages") >= w.pages)
     counted = counted.join(broadcast_if_small(sizes, small), "site").where(F.col("pages") >= w.share * F.col("whole"))
     often = scratch.keep(counted.select("node", "opening", "size", "words"), "often")
