@@ -57,7 +57,7 @@ def shuffled(spark, df):
     return sum(got.apply(i).shuffleWriteRecords() for i in range(got.size()) if got.apply(i).stageId() not in known)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_stated", "bm25_filtered_stated", "hybrid_rrf_stated", "rerank_overlap_stated", "fan_out_stated"])
+@pytest.mark.parametrize("name", ["bm25_topk_stated", "bm25_filtered_stated", "hybrid_rrf_stated", "rerank_overlap_stated", "fan_out_stated", "known_item"])
 def test_pairs_are_not_shuffled(spark, name):
     """The stated set meets 11 408 of the documents at this scale; 1 000 documents are spread over the cores, and once more for a join."""
     assert shuffled(spark, lambda: QUERIES[name](spark, "/root/testdata/sf0.01")) < 9_000
