@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.neardup import band_rows, verify
 from corvane.llm.sketch import ODD, SPAN, WORDS, SetSketch, _mix, estimate_pairs, packed, word_hashes
-from corvane.session import Scratch, broadcast_if_small, exists
+from corvane.session import Scratch, at_most, broadcast_if_small, exists
 
 
 def sign_records(df: DataFrame, key: str, batch: str, text: str, sketch: SetSketch, least_words: int) -> DataFrame:
@@ -131,7 +131,7 @@ class History:
 
     def records(self, ids: DataFrame, *columns: str) -> DataFrame:
         """Columns of the accepted records with these ids. Only the shards that hold one are read."""
-        got = self.spark.read.parquet(f"{self.path}/records").where(F.col("delivery") <= self.delivery)
+        got = self.spark.read.schema(f"id {self.id_type}, n int, words int, registers binary, text string, delivery int, shard int").parquet(f"{self.path}/records").where(F.col("delivery") <= self.delivery)
         if self.shards > 1:
             wanted = [r[0] for r in ids.select(self._shard("id").alias("s")).distinct().collect()]  # at most ``shards`` numbers
             got = got.where(F.col("shard").isin(wanted))
@@ -153,7 +153,7 @@ class History:
 
     def struck(self) -> DataFrame | None:
         path = f"{self.path}/struck"
-        return self.spark.read.parquet(path).select("id").distinct() if exists(self.spark, path) else None
+        return self.spark.read.schema(f"id {self.id_type}, delivery int").parquet(path).select("id").distinct() if exists(self.spark, path) else None
 
     def compact(self, path: str) -> History:
         """The same history in another folder, each bucket and shard in one run of files; deliveries leave many small ones.
@@ -207,11 +207,12 @@ class History:
         ids, fresh = self._fresh(signed)
         self._append_hashes(self.hash_rows(fresh))
         edges = self._edges(self._candidates(fresh), fresh)
-        self._resolve(edges, ids).select("id").write.mode("append").parquet(f"{self.path}/struck/delivery={self.delivery + 1}")
+        self._resolve(edges).select("id").write.mode("append").parquet(f"{self.path}/struck/delivery={self.delivery + 1}")
         down = broadcast_if_small(self.struck(), 1_000_000)
         accepted = self.scratch.keep(ids.join(down, "id", "left_anti"), "accepted")
-        self._commit(fresh.join(broadcast_if_small(accepted, 1_000_000), "id", "left_semi"))
-        out = self.scratch.keep(signed.select("id").join(broadcast_if_small(accepted, 1_000_000), "id", "left_anti").distinct(), "repeats")
+        kept = broadcast_if_small(accepted, 1_000_000)
+        self._commit(fresh.join(kept, "id", "left_semi"))
+        out = self.scratch.keep(signed.select("id").join(kept, "id", "left_anti").distinct(), "repeats")
         self.scratch.drop(ids, edges, accepted)
         return out
 
@@ -266,12 +267,15 @@ class History:
         self.scratch.drop(pairs, likely)
         return edges
 
-    def _resolve(self, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    def _resolve(self, edges: DataFrame, at_once: int = 1_000_000) -> DataFrame:
         """``(id)`` of the fresh records with an earlier accepted neighbour, earlier decisions first.
 
-        A record whose earlier neighbours are all in the history or settled is decided in the next round, so the rounds
-        are as many as the longest chain of neighbours within the delivery, not as the records.
+        So many edges are walked by one task. More are settled in rounds: a record whose earlier neighbours are all in the
+        history or settled is decided in the next one, so the rounds are as many as the longest chain of neighbours within
+        the delivery, not as the records; each of them costs the driver several jobs.
         """
+        if at_most(edges, at_once):
+            return edges.select("id_a", "id_b", "old").coalesce(1).mapInArrow(_settled, f"id {self.id_type}")
         keep = self.scratch.keep
         down = edges.where("old").select(F.col("id_b").alias("id")).distinct()
         alive = lambda e, gone: e.join(gone.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
@@ -288,6 +292,18 @@ class History:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all edges (id_a, id_b, old), id_a before id_b unless it is old: each id_b that has an old or an accepted id_a."""
+    held = list(batches)
+    if not held:
+        return
+    edges, down = pa.Table.from_batches(held).sort_by("id_b"), set()
+    for a, b, old in zip(*[edges.column(k).to_pylist() for k in range(3)]):
+        if old or a not in down:
+            down.add(b)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(down), edges.schema.field("id_b").type)], names=["id"])
+
+
 def repeats_of_accepted(
     df: DataFrame,
     key: str = "ingest_id",
